@@ -313,7 +313,7 @@ def restored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", on
         repair = Repairer(Model(*shared.value))
         for frame in frames:
             texts = [t if isinstance(t, str) else None for t in frame["text"]]
-            out = pd.DataFrame(repair(texts, model), columns=["text", "n_restored", "n_lost"])
+            out = pd.DataFrame(repair(texts), columns=["text", "n_restored", "n_lost"])
             out.insert(0, id_col, frame[id_col].to_numpy())
             yield out[(out["n_restored"] > 0) | (out["n_lost"] > 0)] if only else out
 

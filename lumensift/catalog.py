@@ -6,12 +6,43 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lumensift.io import table
+from lumensift.operators import selection
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """The three best hits of each citation key."""
+    return selection.top_rows(table(spark, d, "chunk_hits"), "citation_key", "score", "hit_id", 3).select("citation_key", "hit_id")
+
+
+P3_FOUND = """
+WITH h AS (SELECT DISTINCT citation_key, hit_id, score FROM chunk_hits
+           WHERE citation_key IS NOT NULL AND trim(citation_key) <> '' AND score IS NOT NULL AND NOT isnan(score))
+SELECT citation_key, hit_id FROM h
+QUALIFY row_number() OVER (PARTITION BY citation_key ORDER BY score DESC, hit_id) <= 3
+"""
+
+
+def p3_quantiles(spark: SparkSession, d: str) -> DataFrame:
+    """Exact median and ninth decile of each citation key's scores."""
+    return selection.key_quantiles(table(spark, d, "chunk_hits"), "citation_key", "score", [0.5, 0.9], "hit_id")
+
+
+P3_QUANTILES = """
+WITH h AS (SELECT DISTINCT citation_key, hit_id, score FROM chunk_hits
+           WHERE citation_key IS NOT NULL AND trim(citation_key) <> '' AND score IS NOT NULL AND NOT isnan(score)),
+r AS (SELECT *, row_number() OVER (PARTITION BY citation_key ORDER BY score) AS i, count(*) OVER (PARTITION BY citation_key) AS n FROM h)
+SELECT citation_key, any_value(n) AS n,
+       max(CASE WHEN i = greatest(1, ceil(n * 0.5::DOUBLE)) THEN score END) AS q50, max(CASE WHEN i = greatest(1, ceil(n * 0.9::DOUBLE)) THEN score END) AS q90
+FROM r GROUP BY citation_key
+"""
+
+
 def queries() -> dict[str, Query]:
-    return {}
+    return {"p3_found": p3_found, "p3_quantiles": p3_quantiles}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p3_found": P3_FOUND, "p3_quantiles": P3_QUANTILES}

@@ -11,7 +11,47 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumensift.io import table
-from lumensift.llm import garbled, leaks, tokenizer
+from lumensift.llm import garbled, leaks, neardup, pieces, tokenizer
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of chunks whose runs of three words are at least 0.7 the same (the figures the test data state)."""
+    return neardup.NearDuplicates(table(spark, d, "chunks"), shingle=3, least=0.7).pairs()
+
+
+def p6_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Every chunk's class of equal texts and its number of links, at five words and 0.8."""
+    return neardup.NearDuplicates(table(spark, d, "chunks")).groups()
+
+
+def p6_unchanged(spark: SparkSession, d: str) -> DataFrame:
+    """Attachments whose latest indexed content hash recurs in others: the exact copies that hashes alone show."""
+    rows = table(spark, d, "manifest").filter("content_hash is not null and trim(content_hash) <> '' and index_status = 'indexed'")
+    latest = rows.groupBy("attachment_key").agg(F.max(F.struct("indexed_at", "content_hash")).alias("m"))
+    return latest.groupBy(F.col("m.content_hash").alias("content_hash")).agg(F.count("*").alias("n_attachments"), F.min("attachment_key").alias("first_key")).filter("n_attachments > 1")
+
+
+P6_UNCHANGED = """
+WITH latest AS (
+  SELECT attachment_key, max({'t': indexed_at, 'h': content_hash}).h AS content_hash FROM manifest
+  WHERE content_hash IS NOT NULL AND trim(content_hash) <> '' AND index_status = 'indexed' GROUP BY attachment_key)
+SELECT content_hash, count(*) AS n_attachments, min(attachment_key) AS first_key FROM latest GROUP BY content_hash HAVING count(*) > 1
+"""
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """The chunks that were cut: each has its first piece here."""
+    return pieces.pieces(table(spark, d, "chunks")).filter("piece = 0").select("chunk_id")
+
+
+P7_FOUND = r"""
+SELECT DISTINCT chunk_id FROM chunks
+WHERE chunk_id IS NOT NULL AND (length(text) > 6000 OR len(regexp_extract_all(text, '[^ \t\r\n]+')) > 800)
+"""
+
+
+def p7_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return pieces.pieces(table(spark, d, "chunks"))
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:

@@ -11,7 +11,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumensift.io import table
-from lumensift.llm import garbled, leaks, neardup, pieces, tokenizer
+from lumensift.llm import garbled, leaks, neardup, pieces, sentences, tokenizer
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.sentences(table(spark, d, "paragraphs"), ["attachment_key", "paragraph_id"]).select("attachment_key", "paragraph_id", "sent_end")
+
+
+def p5_sentences(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.sentences(table(spark, d, "paragraphs"), ["attachment_key", "paragraph_id"])
+
+
+def p5_checked(spark: SparkSession, d: str) -> DataFrame:
+    """Each delivered sentence, and whether it is a true sentence unit of its paragraph."""
+    true = sentences.sentences(table(spark, d, "paragraphs"), ["attachment_key", "paragraph_id"])
+    flat = lambda c: F.regexp_replace(c, r"(?U)\s+", "")
+    units = true.select("attachment_key", "paragraph_id", F.xxhash64(flat("text")).alias("h")).distinct().withColumn("is_unit", F.lit(True))
+    given = table(spark, d, "sentences").filter("text is not null").dropDuplicates(["attachment_key", "sentence_id"])
+    given = given.select("attachment_key", "sentence_id", "paragraph_id", F.xxhash64(flat("text")).alias("h"))
+    return given.join(units, ["attachment_key", "paragraph_id", "h"], "left").select("attachment_key", "sentence_id", F.coalesce("is_unit", F.lit(False)).alias("is_unit"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

@@ -11,7 +11,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumensift.io import table
-from lumensift.llm import garbled, leaks, neardup, pieces, sentences, tokenizer
+from lumensift.llm import garbled, leaks, neardup, neighbours, pieces, sentences, tokenizer
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    near = neighbours.neighbours(table(spark, d, "similarity_chunks"), least=0.85)
+    return near.select(F.least("a", "b").alias("vec_a"), F.greatest("a", "b").alias("vec_b")).distinct()
+
+
+def p1_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The ten most similar vectors of every vector, whatever their cosine."""
+    return neighbours.neighbours(table(spark, d, "similarity_chunks"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumensift.io import table
-from lumensift.llm import garbled, leaks, neardup, neighbours, pieces, sentences, tokenizer
+from lumensift.llm import garbled, languages, leaks, neardup, neighbours, pieces, sentences, tokenizer
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -24,6 +24,21 @@ def p1_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.neighbours(table(spark, d, "similarity_chunks"))
 
 
+def _language_records(spark: SparkSession, d: str) -> DataFrame:
+    items = languages.records(table(spark, d, "items"), "items", "item_key", "abstract", "language", "item_key")
+    chunks = languages.records(table(spark, d, "chunks"), "chunks", "chunk_id", "text", "language", "parent_key")
+    return items.unionByName(chunks)
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return languages.mislabelled(languages.identify(_language_records(spark, d)))
+
+
+def p4_stretches(spark: SparkSession, d: str) -> DataFrame:
+    """Every record's one-language stretches with their languages and confidences."""
+    return languages.identify(_language_records(spark, d))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentences(table(spark, d, "paragraphs"), ["attachment_key", "paragraph_id"]).select("attachment_key", "paragraph_id", "sent_end")
 

@@ -2,14 +2,34 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors' Python workers this package, once per application, wherever they run."""
+    context = spark.sparkContext
+    if getattr(context, "_lumensift_shipped", False):
+        return
+    home = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="lumensift-code-"), "lumensift.zip")
+    with zipfile.ZipFile(path, "w") as out:
+        for folder, _, names in os.walk(home):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    out.write(full, os.path.join("lumensift", os.path.relpath(full, home)))
+    context.addPyFile(path)  # served by the driver; nothing is read from this folder by others
+    context._lumensift_shipped = True
+
+
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """The table `name` below `root` (one Parquet file or folder)."""
+    ship(spark)
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 

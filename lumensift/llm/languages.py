@@ -47,7 +47,8 @@ NAMES = {
 }
 UNKNOWN = ["", "und", "undefined", "undetermined", "unknown", "unk", "n/a", "na", "none", "null", "nil", "mul", "mis", "zxx", "?", "-", "--", "xx", "not known", "other"]
 SUFFIXES = {"uk": "en", "us": "en", "au": "en", "ie": "en", "de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "it": "it", "pt": "pt", "br": "pt", "nl": "nl", "ru": "ru", "cn": "zh", "tw": "zh", "jp": "ja"}
-_WORD = re.compile(r"[぀-ヿ]+|[㐀-鿿豈-﫿]+|[^\W\d_぀-ヿ㐀-鿿豈-﫿]+")
+#: Letters beside digits (codes, hashes) are no words.
+_WORD = re.compile(r"[぀-ヿ]+|[㐀-鿿豈-﫿]+|(?<![0-9])[^\W\d_぀-ヿ㐀-鿿豈-﫿]++(?![0-9])")
 _WIDE = re.compile(r"[぀-ヿ㐀-鿿豈-﫿]")
 _STOP = re.compile(r"(?:[.!?…]+[\"”’»)\]“]*(?=\s)|[。！？]+[”’」』]*|\n\s*\n)\s*")
 

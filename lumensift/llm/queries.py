@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumensift.io import table
-from lumensift.llm import garbled, languages, leaks, neardup, neighbours, pieces, sentences, tokenizer
+from lumensift.llm import garbled, languages, leaks, neardup, neighbours, pages, pieces, sentences, tokenizer
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -24,6 +24,15 @@ def p1_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.neighbours(table(spark, d, "similarity_chunks"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return pages.Scanned(table(spark, d, "document_pages"), table(spark, d, "paragraphs")).noise()
+
+
+def p2_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    """The repaired paragraphs of every page."""
+    return pages.Scanned(table(spark, d, "document_pages"), table(spark, d, "paragraphs")).paragraphs()
+
+
 def _language_records(spark: SparkSession, d: str) -> DataFrame:
     items = languages.records(table(spark, d, "items"), "items", "item_key", "abstract", "language", "item_key")
     chunks = languages.records(table(spark, d, "chunks"), "chunks", "chunk_id", "text", "language", "parent_key")

@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lumensift.config import DEFAULT, EngineConfig
 
@@ -63,7 +64,7 @@ def fold(text: Column) -> Column:
     return F.replace(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """Compatibility form; the one text function without an equal in the JVM."""
     return text.map(lambda t: unicodedata.normalize("NFKC", t) if isinstance(t, str) and not t.isascii() else t)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -30,8 +32,8 @@ def rank_candidates(hits: DataFrame, concept: str, cfg: EngineConfig = DEFAULT,
 
     `pos` is the place in retrieval order, which parts ties.
     """
-    level = X.lexical_level(F.lit(concept), F.col("text"))
-    rows = hits.filter(F.coalesce(F.col("section_type"), F.lit("")) != "references").withColumn("lexical_match", level)
+    level = X.lexical_level(F.lit(unicodedata.normalize("NFKC", concept)), F.col("_nfkc"))
+    rows = hits.filter(F.coalesce(F.col("section_type"), F.lit("")) != "references").withColumn("_nfkc", X.nfkc(F.col("text"))).withColumn("lexical_match", level).drop("_nfkc")
     rows = rows.withColumn("candidate_score", X.candidate_score(F.col("score"), F.col("lexical_match"), F.col("section_type"), F.col("text"), cfg))
     return rows.orderBy(F.desc("candidate_score"), pos, ident).limit(cfg.define_top_k)
 

@@ -4,13 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-S, I, L, D = T.StringType(), T.IntegerType(), T.LongType(), T.DoubleType()  # noqa: E741
-
-
-def _of(text: str) -> T.StructType:
-    return T._parse_datatype_string(text) if hasattr(T, "_parse_datatype_string") else T.StructType.fromDDL(text)
-
-
 SENTENCE = "struct<sentence_id:string,paragraph_id:string,page_number:int,section_type:string,section_title:string,text:string,normalized_text:string,ordering:int>"
 PARAGRAPH = f"struct<paragraph_id:string,page_number:int,section_type:string,section_title:string,text:string,sentences:array<{SENTENCE}>,ordering:int>"
 PAGE = f"attachment_key string, page_number int, text string, paragraphs array<{PARAGRAPH}>"
@@ -22,5 +15,11 @@ ITEM = "item_key string, parent_key string, title string, year int, publication_
 MANIFEST = "attachment_key string, parent_key string, citation_key string, zotero_item_version int, pdf_path string, pdf_mtime double, pdf_size long, pdf_hash string, content_hash string, embedding_model string, embedding_config_hash string, chunker_version string, chunker_config_hash string, indexed_at string, number_of_pages int, number_of_chunks int, index_status string, error_message string, pipeline_version string"
 
 
+def names(ddl: str) -> list[str]:
+    """Column names of a flat schema."""
+    return [column.split()[0] for column in ddl.split(", ")]
+
+
 def struct(ddl: str) -> T.StructType:
+    """The schema as a type (asks a running session)."""
     return T.StructType.fromDDL(ddl)

@@ -7,9 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lumensift.config import DEFAULT, EngineConfig
-from lumensift.schemas import MANIFEST, struct
+from lumensift.schemas import MANIFEST, names, struct
 
-COLUMNS = [f.name for f in struct(MANIFEST)]
+COLUMNS = names(MANIFEST)
 
 
 def empty(spark: SparkSession) -> DataFrame:

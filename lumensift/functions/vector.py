@@ -20,8 +20,8 @@ def norm(a: Column) -> Column:
 
 def cosine(a: Column, b: Column) -> Column:
     """Within [-1, 1]; 0 for null, empty, zero or unlike vectors."""
-    value = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(dot(a, b), norm(a) * norm(b))))
-    return F.coalesce(F.when((F.size(a) == F.size(b)) & (F.size(a) > 0), value), F.lit(0.0))
+    ratio = F.when((F.size(a) == F.size(b)) & (F.size(a) > 0), F.try_divide(dot(a, b), norm(a) * norm(b)))
+    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.coalesce(ratio, F.lit(0.0))))
 
 
 def literal(vector: list[float]) -> Column:

@@ -60,7 +60,7 @@ def similar_papers(store: DataFrame, citation_key: str, cfg: EngineConfig = DEFA
     scores = coverage_scores(best.select("candidate", "src", "score"), max(1, n_reps), cfg.similar_min, cfg)
     titles = met.groupBy("candidate").agg(F.coalesce(F.nullif(F.min_by("title", F.struct("src", "rank")), F.lit("")), F.first("candidate")).alias("title"))
     papers = scores.join(titles, "candidate").orderBy(F.desc("similarity"), F.desc("strength"), "candidate").limit(cfg.similar_results)
-    pairs = best.join(reps, "src").join(papers.select("candidate"), "candidate", "left_semi").select("candidate", F.col("src").alias("source_chunk"), "src_vec", F.col("chunk_id").alias("candidate_chunk"), F.col("score").alias("similarity"))
+    pairs = best.join(reps, "src").join(papers.select("candidate"), "candidate", "left_semi").select("candidate", F.col("src").alias("source_chunk"), F.col("src_vec").alias("source_vec"), F.col("chunk_id").alias("candidate_chunk"), F.col("score").alias("similarity"))
     shared = diverse.overlaps(pairs, cfg.similar_min, cfg)
     texts = store.select("chunk_id", "attachment_key", "chunk_index", F.nullif("page_start", F.lit(0)).alias("page_start"), F.nullif("page_end", F.lit(0)).alias("page_end"), "text", X.excerpt(F.col("text")).alias("excerpt"))
     of = lambda side: texts.select(*[F.col(c).alias(f"{side}_{c}" if c != "chunk_id" else f"{side}_chunk") for c in texts.columns])

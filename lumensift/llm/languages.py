@@ -31,8 +31,8 @@ from pyspark.sql import Window as W
 from lumensift.io import written
 
 LANGUAGES = ["en", "de", "fr", "es", "it", "pt", "nl", "ru", "zh", "ja"]
-#: Bound on the fit: labelled records of each language.
-PER_LANGUAGE, ROUNDS = 300, 2
+#: Bound on the fit: labelled records of each language, words a record counts for, and refittings.
+PER_LANGUAGE, VOICE, ROUNDS = 300, 50, 2
 #: Nats that one word may speak against a language, price of a change of language, and least lead and words of a sentence that may open a stretch.
 MOST, CHANGE, LEAD, LEAST_WORDS = 5.0, 9.0, 8.0, 4
 #: Odds that a declared label or an address suffix is right; pseudo-records of a host.
@@ -92,10 +92,12 @@ def _triples(word: str) -> list[str]:
 class Model:
     """Evidence of a word: nats by which each language is behind the best, at most MOST."""
 
-    def __init__(self, sentences: list[tuple[list[str], int]]):
+    def __init__(self, sentences: list[tuple[list[str], int]], weights: list[float] | None = None):
         words, triples = [Counter() for _ in LANGUAGES], [Counter() for _ in LANGUAGES]
-        for own, lang in sentences:
-            words[lang].update(own)
+        for k, (own, lang) in enumerate(sentences):
+            weight, counts = weights[k] if weights else 1.0, words[lang]
+            for w in own:
+                counts[w] += weight
         for lang, counts in enumerate(words):
             for w, n in counts.items():
                 for t in _triples(w):
@@ -205,12 +207,16 @@ def fit(records: DataFrame) -> Model:
     labelled = records.filter(F.col("declared").isin(LANGUAGES))
     pick = F.row_number().over(W.partitionBy("declared").orderBy(F.xxhash64("key"), "key"))
     sample = labelled.withColumn("_n", pick).filter(F.col("_n") <= PER_LANGUAGE).select("declared", "text").collect()
-    parts = [(tokens(r.text[b:e]), LANGUAGES.index(r.declared)) for r in sample for b, e in split(r.text)]
-    parts = [p for p in parts if p[0]]
-    model = Model(parts)
+    parts, weights = [], []
+    for r in sample:
+        own = [p for b, e in split(r.text) if (p := tokens(r.text[b:e]))]
+        # A record speaks for at most VOICE words, so that no long text with a wrong label outweighs many others.
+        weights += [min(1.0, VOICE / sum(map(len, own)))] * len(own)
+        parts += [(p, LANGUAGES.index(r.declared)) for p in own]
+    model = Model(parts, weights)
     for _ in range(ROUNDS):
         best = Scorer(model).scores([own for own, _ in parts]).argmax(axis=1)
-        model = Model([(own, int(lang)) for (own, _), lang in zip(parts, best)])
+        model = Model([(own, int(lang)) for (own, _), lang in zip(parts, best)], weights)
     return model
 
 

@@ -91,10 +91,11 @@ class Cutter:
     def cut(self, begin: int, done: int) -> int:
         """The end of the piece that begins at `begin` and whose text up to `done` the last piece had."""
         far = self.reach(begin)
-        if far >= len(self.text) or not self.text[far:].strip(" \t\r\n"):
+        if far >= len(self.text) or len(self.text) - begin <= MAX_CHARS and not self.text[far:].strip(" \t\r\n"):
             return len(self.text)
         at = bisect_left(self.starts, done)
-        low = min(self.ends[min(at + LEAST_WORDS, len(self.ends)) - 1], done + LEAST_CHARS, far)
+        least = self.ends[min(at + LEAST_WORDS, len(self.ends)) - 1] if self.ends else far
+        low = min(least, done + LEAST_CHARS, far)
         low = max(low, done + 1)
         paragraphs, sentences = self._within(self.paragraphs, low, far), self._within(self.sentences, low, far)
         mark = next(iter(self._within(self.marks, low, far)), None)

@@ -414,7 +414,8 @@ def stitch(spark: SparkSession, d: str) -> DataFrame:
     """Words that each chunk shares with the next."""
     sib = context.ordered_siblings(chunks(spark, d).filter("text is not null").select("chunk_id", "attachment_key", "text"))
     nxt = sib.select("attachment_key", (F.col("idx") - 1).alias("idx"), F.col("text").alias("right"))
-    return sib.join(nxt, ["attachment_key", "idx"]).select("chunk_id", context.overlap(X.words(F.col("text")), X.words(F.col("right"))).alias("shared"))
+    both = sib.join(nxt, ["attachment_key", "idx"]).select("chunk_id", X.words(F.col("text")).alias("l"), X.words(F.col("right")).alias("r"))
+    return both.select("chunk_id", context.overlap(F.col("l"), F.col("r")).alias("shared"))
 
 
 # Manifest and sync ---------------------------------------------------------------

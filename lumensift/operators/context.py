@@ -20,14 +20,26 @@ def overlap(left: Column, right: Column, cfg: EngineConfig = DEFAULT) -> Column:
     """Words (arrays) that end the left and begin the right: the longest such run of stitch_least to stitch_most, or 0."""
     most = F.least(F.lit(cfg.stitch_most), F.size(left), F.size(right))
     sizes = F.when(most >= cfg.stitch_least, F.sequence(most, F.lit(cfg.stitch_least), F.lit(-1))).otherwise(F.array().cast("array<int>"))
-    return F.coalesce(F.get(F.filter(sizes, lambda n: F.slice(left, -n, n) == F.slice(right, F.lit(1), n)), 0), F.lit(0))
+    # The first words are compared first; only where they agree are the runs.
+    same = lambda n: (F.get(left, F.size(left) - n) == F.get(right, 0)) & (F.slice(left, -n, n) == F.slice(right, F.lit(1), n))
+    return F.coalesce(F.get(F.filter(sizes, same), 0), F.lit(0))
+
+
+def _let(value: Column, body) -> Column:
+    """`body` of a value that is worked out once (a lambda's argument), however often the body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _joined(text: Column, rest: Column) -> Column:
+    """A text and the words that follow it; a list item begins a line."""
+    return F.when(F.size(rest) == 0, text).otherwise(
+        _let(F.array_join(rest, " "), lambda r: X.trim(F.concat(text, F.when(r.rlike(rf"(?i)\A{X.LIST_MARKER}"), "\n").otherwise(" "), r)))
+    )
 
 
 def stitch(left: Column, right: Column, cfg: EngineConfig = DEFAULT) -> Column:
-    """Two texts joined without the words they share; a list item begins a line."""
-    a, b = X.trim(left), X.words(right)
-    rest = F.array_join(F.slice(b, overlap(X.words(left), b, cfg) + 1, F.size(b)), " ")
-    return F.when(rest == "", a).otherwise(X.trim(F.concat(a, F.when(rest.rlike(rf"(?i)\A{X.LIST_MARKER}"), "\n").otherwise(" "), rest)))
+    """Two texts joined without the words they share."""
+    return _let(F.struct(X.words(left).alias("a"), X.words(right).alias("b")), lambda w: _joined(X.trim(left), F.slice(w["b"], overlap(w["a"], w["b"], cfg) + 1, F.size(w["b"]))))
 
 
 def ordered_siblings(chunks: DataFrame) -> DataFrame:
@@ -61,15 +73,20 @@ def expand(anchors: DataFrame, siblings: DataFrame, before: int = 1, after: int
     near = met.join(ends, "anchor_id")
     onward = ((F.col("idx") < F.col("low")) & (F.col("run") == F.col("low_run"))) | ((F.col("idx") > F.col("high")) & (F.col("run") == F.col("high_run")))
     near = near.filter(band | onward) if structures else near.filter(band)
-    pieces = near.groupBy("anchor_id", "anchor_idx").agg(
-        F.sort_array(F.collect_list(F.struct("idx", "chunk_id", "text"))).alias("p"), F.count_if(~band).alias("n_continued")
-    )
-    start = F.struct(F.lit("").alias("text"), F.array().cast("array<string>").alias("ids"), F.array().cast("array<int>").alias("at"))
+    near = near.withColumn("t", X.trim(F.col("text"))).withColumn("w", X.words(F.col("text")))
+    pieces = near.groupBy("anchor_id", "anchor_idx").agg(F.sort_array(F.collect_list(F.struct("idx", "chunk_id", "t", "w"))).alias("p"), F.count_if(~band).alias("n_continued"))
+    start = F.struct(F.lit("").alias("text"), F.array().cast("array<string>").alias("w"), F.array().cast("array<string>").alias("ids"), F.array().cast("array<int>").alias("at"))
 
     def step(acc: Column, p: Column) -> Column:
-        joined = F.when(F.size(acc["ids"]) == 0, X.trim(p["text"])).when(acc["text"] == "", X.trim(p["text"])).otherwise(stitch(acc["text"], p["text"], cfg))
-        fits = (X.word_count(joined) <= max_words) | (p["idx"] == F.col("anchor_idx"))
-        return F.when(fits, F.struct(joined.alias("text"), F.concat(acc["ids"], F.array(p["chunk_id"])).alias("ids"), F.concat(acc["at"], F.array(p["idx"])).alias("at"))).otherwise(acc)
+        rest = F.slice(p["w"], overlap(acc["w"], p["w"], cfg) + 1, F.greatest(F.size(p["w"]), F.lit(1)))
+
+        def put(rest: Column) -> Column:
+            text = F.when(acc["text"] == "", p["t"]).otherwise(_joined(acc["text"], rest))
+            fits = (F.size(acc["w"]) + F.size(rest) <= max_words) | (p["idx"] == F.col("anchor_idx"))
+            grown = F.struct(text.alias("text"), F.concat(acc["w"], rest).alias("w"), F.concat(acc["ids"], F.array(p["chunk_id"])).alias("ids"), F.concat(acc["at"], F.array(p["idx"])).alias("at"))
+            return F.when(fits, grown).otherwise(acc)
+
+        return _let(rest, put)
 
     folded = pieces.withColumn("f", F.aggregate("p", start, step))
     return folded.select("anchor_id", F.col("f.text").alias("text"), F.col("f.ids").alias("context_chunk_ids"), F.array_min("f.at").alias("context_start"), F.array_max("f.at").alias("context_end"), "n_continued")

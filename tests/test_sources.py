@@ -229,3 +229,20 @@ def test_provider():
 def test_schemas(spark):
     assert [c.split()[0] for c in STORED.split(", ")][0] == "chunk_id"
     assert X.facet_queries("k")[0] == ("topic", 0, "k topic")
+
+
+def test_session(spark):
+    from lumensift.session import Session, parse_author
+
+    states = state(spark, [("a", "k1", "p", 1.0, 10, 3, 2, "2024", "indexed", "2")])
+    s = Session(question_engine(spark, lambda task, body: []), states)
+    assert parse_author(["x", "--author", "Roe", "y"]) == (["x", "y"], "Roe") and parse_author(["--author=Poe"]) == ([], "Poe")
+    s.run("set source k1, zz, k1")
+    assert {r.citation_key: r.status for r in s.run("show").collect()} == {"k1": "indexed", "zz": "unknown"}
+    s.run("clear")
+    assert s.run("search health literacy").count() == 4 and s.seen[:1] and s.run("find health --author Nobody").count() == 0
+    assert s.run("evidence a:0:h").count() == 1 and s.run("define health literacy").count() == 0
+    with pytest.raises(ValueError):
+        s.run("search ' '")
+    with pytest.raises(ValueError):
+        s.run("dance")

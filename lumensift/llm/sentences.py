@@ -28,6 +28,7 @@ ABBREVIATIONS = (
     "проф акад см рис табл гл тыс млн им доц "
     "डॉ प्रो"
 ).split()
+BLOCK = 256
 _SPACE = r"\s  "
 _CLOSE = rf"(?:[\"”’'»)\]“«›]|[{_SPACE}]»(?=[{_SPACE},.;:]|\z))*(?:\[\d+(?:[,–-]\s?\d+)*\])*"
 _OPEN = rf"(?:[\"“„«»‘‚'(\[¿¡—–-][{_SPACE}]?)*"
@@ -88,10 +89,15 @@ def sentences(df: DataFrame, keys: list[str], text_col: str = "text") -> DataFra
     rows = df.select(*keys, F.col(text_col).alias("_t")).filter(F.col("_t").rlike(rf"[^{_SPACE}]"))
     rows = masked(rows.withColumn("_m", F.col("_t")), "_m")
     sizes = F.transform(F.regexp_extract_all("_m", F.lit(UNIT), F.lit(0)), lambda p: F.length(p))
-    ends = F.transform(F.sequence(F.lit(1), F.size("_n")), lambda i: F.aggregate(F.slice("_n", F.lit(1), i), F.lit(0), lambda t, n: t + n))
-    rows = rows.withColumn("_n", sizes).withColumn("_e", ends).withColumn("_w", F.length(F.regexp_replace("_t", rf"[{_SPACE}]+\z", "")))
-    # outer: for an inner one the planner would ask the whole chain of masks for its size in a filter beneath
-    rows = rows.select(*keys, "_t", "_w", "_n", F.posexplode_outer("_e").alias("_i", "_end"))
-    rows = rows.select(*keys, "_t", "_i", (F.col("_end") - F.get("_n", "_i")).alias("_begin"), F.least("_end", "_w").alias("sent_end")).filter("sent_end > _begin")
+    total = lambda part: F.aggregate(part, F.lit(0), lambda t, n: t + n)
+    # Running sums by whole blocks and a rest, so that very long texts stay far from the square of their sentences.
+    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size("_n") / BLOCK).cast("int")), lambda b: total(F.slice("_n", b * BLOCK + 1, F.lit(BLOCK))))
+    full = lambda i: F.floor(i / BLOCK).cast("int")
+    upto = lambda i: total(F.slice("_b", F.lit(1), full(i))) + total(F.slice("_n", full(i) * BLOCK + 1, i % BLOCK))
+    places = F.transform(F.sequence(F.lit(1), F.size("_n")), lambda i: F.struct(i.alias("i"), upto(i - 1).alias("begin"), F.least(upto(i), F.col("_w")).alias("end")))
+    rows = rows.withColumn("_w", F.length(F.regexp_replace("_t", rf"[{_SPACE}]+\z", ""))).withColumn("_n", sizes).withColumn("_b", blocks).withColumn("_u", places)
+    # Outer, and filtered by nothing but what it yields: else the planner asks the whole chain of masks, many times over, in a filter beneath it.
+    rows = rows.select(*keys, "_t", F.explode_outer("_u").alias("_u")).filter("_u.end > _u.begin")
+    rows = rows.select(*keys, "_t", F.col("_u.i").alias("_i"), F.col("_u.begin").alias("_begin"), F.col("_u.end").alias("sent_end"))
     text = F.regexp_replace(F.substring("_t", F.col("_begin") + 1, F.col("sent_end") - F.col("_begin")), rf"\A[{_SPACE}]+|[{_SPACE}]+\z", "")
-    return rows.select(*keys, (F.col("_i") + 1).alias("sentence"), text.alias("text"), "sent_end").dropDuplicates([*keys, "sentence"])
+    return rows.select(*keys, F.col("_i").alias("sentence"), text.alias("text"), "sent_end").dropDuplicates([*keys, "sentence"])

@@ -19,6 +19,16 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return near.select(F.least("a", "b").alias("vec_a"), F.greatest("a", "b").alias("vec_b")).distinct()
 
 
+P1_FOUND = """
+WITH v AS (SELECT DISTINCT ON (vec_id) vec_id, embedding::DOUBLE[] AS e FROM similarity_chunks
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+u AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM v),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_dot_product(a.e, b.e) / (a.n * b.n) AS c FROM u a JOIN u b ON a.vec_id <> b.vec_id),
+t AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY a ORDER BY c DESC, b) <= 10)
+SELECT DISTINCT least(a, b) AS vec_a, greatest(a, b) AS vec_b FROM t WHERE c >= 0.85
+"""
+
+
 def p1_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """The ten most similar vectors of every vector, whatever their cosine."""
     return neighbours.neighbours(table(spark, d, "similarity_chunks"))
@@ -71,6 +81,15 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.NearDuplicates(table(spark, d, "chunks"), shingle=3, least=0.7).pairs()
 
 
+P6_FOUND = r"""
+WITH c AS (SELECT DISTINCT ON (chunk_id) chunk_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM chunks WHERE chunk_id IS NOT NULL AND text IS NOT NULL),
+s AS (SELECT chunk_id, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s FROM c WHERE len(w) >= 3),
+e AS (SELECT chunk_id, len(s) AS n, unnest(s) AS x FROM s),
+p AS (SELECT a.chunk_id AS chunk_a, b.chunk_id AS chunk_b, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS k FROM e a JOIN e b ON a.x = b.x AND a.chunk_id < b.chunk_id GROUP BY ALL)
+SELECT chunk_a, chunk_b FROM p WHERE k >= 0.7 * (n + m - k)
+"""
+
+
 def p6_groups(spark: SparkSession, d: str) -> DataFrame:
     """Every chunk's class of equal texts and its number of links, at five words and 0.8."""
     return neardup.NearDuplicates(table(spark, d, "chunks")).groups()
@@ -122,6 +141,15 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+P9_FOUND = r"""
+WITH i AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items WHERE text IS NOT NULL),
+g AS (SELECT DISTINCT item_id, array_to_string(list_slice(w, k, k + 11), ' ') AS x FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS k FROM i)),
+d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+h AS (SELECT doc_id, array_to_string(list_slice(w, k, k + 11), ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS k FROM d))
+SELECT DISTINCT doc_id, item_id FROM h JOIN g USING (x)
+"""
+
+
 def p9_clean(spark: SparkSession, d: str) -> DataFrame:
     return leaks.without_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 

@@ -239,12 +239,22 @@ def chunk_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 # Text ----------------------------------------------------------------------------
-@query()
+def _again(text: str, steps: list[tuple[str, str]]) -> str:
+    for pattern, new in steps:
+        text = f"regexp_replace({text}, '{pattern}', '{new}', 'g')"
+    return text
+
+
+NORMAL = _again("text", [(r"\r\n", r"chr10"), (r"\n{3,}", "chr10chr10"), (r"[ \t]+", " "), (r"\n +", "chr10"), (r"([A-Za-z])\n([A-Za-z])", r"\1 \2"), (r"([A-Za-z])\n([A-Za-z])", r"\1 \2"), (r"([A-Za-z])-\n", r"\1chr10"), (r"\n{2,}", "chr10chr10")]).replace("chr10", "\n")
+
+
+@query(f"SELECT doc_id, sha256({trim_sql(NORMAL)}) AS digest FROM documents WHERE text IS NOT NULL")
 def normalize_text(spark: SparkSession, d: str) -> DataFrame:
     return documents(spark, d).filter("text is not null").select("doc_id", F.sha2(X.normalise_text(F.col("text")), 256).alias("digest"))
 
 
-@query()
+@query(rf"""WITH t AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?])[\s\x1c-\x1f\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}\v]+([A-Z(\["''])', '\1' || chr(57344) || '\2', 'g'), chr(57344)) AS p FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, list_filter(list_transform(p, lambda x: {trim_sql('x')}), lambda x: x <> '') AS p FROM t) SELECT doc_id, unnest(p) AS text, (generate_subscripts(p, 1) - 1)::INT AS ordering FROM l""")
 def sentences(spark: SparkSession, d: str) -> DataFrame:
     return documents(spark, d).filter("text is not null").select("doc_id", F.posexplode(X.simple_sentences(F.col("text"))).alias("ordering", "text"))
 

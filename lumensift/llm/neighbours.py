@@ -12,6 +12,11 @@ so a run is one task's work whatever the vectors' distribution: a group of any s
 tightness only makes prefixes longer, never a run. Vectors at a run's end look to one side;
 that touches REACH in RUN of them, in one tree of TREES.
 
+The forest finds vectors that are alike: below the cosine FOREST_FROM common prefixes tell little,
+and a walk that still found nine in ten would look at more places than there are vectors. Where
+less is asked for, every vector is compared with every other instead, in tiles of two blocks.
+That is exact, and its work grows with the square of the collection.
+
 Equal vectors form one class, which stands in the forest once; its members get their
 neighbours from the class. Vectors that are null, zero, of another length or hold NaN or
 infinite values take no part; rows repeated under one id count once; no vector is its own
@@ -34,6 +39,8 @@ from lumensift.io import written
 TREES, BITS, REACH = 16, 128, 160
 #: Vectors of a run, and vectors whose candidates are compared at once.
 RUN, BLOCK = 20_000, 256
+#: Cosine from which on the forest is asked, and vectors of a block where all are compared; tasks at most for the tiles.
+FOREST_FROM, TILE, TASKS = 0.85, 10_000, 10_000
 _ARROW = pa.schema([("tree", pa.int32()), ("h", pa.binary()), ("id", pa.int64()), ("v", pa.list_(pa.float32()))])
 
 
@@ -111,6 +118,65 @@ def _found(hashed: DataFrame, n: int, k: int, dim: int, least: float) -> DataFra
     return placed.mapInArrow(run, "a long, b long, cosine double")
 
 
+def across(unit: np.ndarray, ids: np.ndarray, others: np.ndarray, other_ids: np.ndarray, k: int, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(queries, neighbours, cosines): the k best others (all that tie with the last) of each vector, itself left out."""
+    low, low_others = unit.astype(np.float32), np.ascontiguousarray(others.astype(np.float32).T)
+    few = min(k + 1, len(other_ids))  # one more, as a vector may stand among the others
+    if few < 1:
+        return
+    for begin in range(0, len(ids), BLOCK):
+        cos = low[begin : begin + BLOCK] @ low_others
+        edge = np.partition(cos, -few, axis=1)[:, -few]
+        # Single precision only chooses; the slack is above its error.
+        q, c = np.nonzero(cos >= np.maximum(edge, least)[:, None] - 1e-5)
+        exact = np.einsum("ij,ij->i", unit[begin + q], others[c])
+        keep = (exact >= least) & (ids[begin + q] != other_ids[c])
+        yield ids[begin + q[keep]], other_ids[c[keep]], exact[keep]
+
+
+def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each tile, from batches sorted by tile."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        at = batch.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(at)]
+        for begin, end in zip(cuts, cuts[1:]):
+            if begin == end:
+                continue
+            if held and held[-1].column(0)[0].as_py() != at[begin]:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+            held.append(batch.slice(begin, end - begin))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _compared(classes: DataFrame, n: int, k: int, dim: int, least: float) -> DataFrame:
+    """(a, b, cosine) of each tile's best: every vector against every other, a tile being the pair of two blocks."""
+    blocks = max(1, -(-n // TILE))
+    count = blocks * (blocks + 1) // 2
+    parts = min(count, TASKS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in tiles(batches):
+            own = table["own"].to_numpy()
+            unit, ids = matrix(table["v"].chunk(0), dim), table["id"].to_numpy()
+            cut = int(np.searchsorted(own, own[0], "right"))
+            sides = [(unit[:cut], ids[:cut]), (unit[cut:], ids[cut:])]
+            # A tile of one block has no second side; one of two is looked at from both.
+            pairs = [(sides[0], sides[1]), (sides[1], sides[0])] if cut < len(own) else [(sides[0], sides[0])] if table["one"][0].as_py() else []
+            for x, y in pairs:
+                for a, b, c in across(*x, *y, k, least):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(c)], names=["a", "b", "cosine"])
+
+    rows = classes.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("long")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    tile = F.floor(high * (high + 1) / 2).cast("long") + low
+    rows = rows.select(tile.alias("tile"), "own", (low == high).alias("one"), "id", "v")
+    placed = rows.repartitionById(parts, (F.col("tile") % parts).cast("int")).sortWithinPartitions("tile", "own")
+    return placed.mapInArrow(run, "a long, b long, cosine double")
+
+
 def best(pairs: DataFrame, k: int) -> DataFrame:
     """The k best b of each a: highest cosine, then least id. Each task first keeps its own k."""
     one = pairs.groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
@@ -124,7 +190,8 @@ def neighbours(vectors: DataFrame, k: int = 10, dim: int = 64, least: float = -1
     # A vector's class is known by its values; each task first keeps one row of a class.
     classes = written(rows.groupBy("c", "v").agg(F.min("id").alias("id")).select("id", "v", "c"), "forest-classes")
     n = classes.count()
-    found = best(_found(_hashed(classes.select("id", "v"), dim), n, k, dim, least), k)
+    alone = classes.select("id", "v")
+    found = best(_found(_hashed(alone, dim), n, k, dim, least) if least >= FOREST_FROM else _compared(alone, n, k, dim, least), k)
     members = rows.select("c", "v", "id").join(classes.select("c", "v", F.col("id").alias("rep")), ["c", "v"]).filter("id <> rep").select("rep", "id").distinct()
     members = written(members, "forest-members")
     if members.isEmpty():

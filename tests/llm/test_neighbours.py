@@ -44,3 +44,15 @@ def test_odd_vectors_and_copies(spark):
     assert got == brute(rows, 3, -1.0)
     assert N.neighbours(df.limit(0), dim=16).count() == 0
     assert N.neighbours(spark.createDataFrame(rows[:1], SCHEMA), dim=16).count() == 0
+
+
+def test_unlike_neighbours(spark, monkeypatch):
+    # Workers keep the module's own REACH, so the vectors are more than the windows of all trees hold.
+    monkeypatch.setattr(N, "TILE", 900, raising=False)
+    monkeypatch.setattr(N, "TASKS", 4, raising=False)
+    x = np.random.default_rng(3).standard_normal((4000, 16)).astype(np.float32)
+    got = {(r.a, r.b) for r in N.neighbours(spark.createDataFrame([(i, v.tolist(), "x") for i, v in enumerate(x)], SCHEMA), k=5, dim=16).collect()}
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    cos = unit @ unit.T
+    np.fill_diagonal(cos, -2)
+    assert got == {(a, int(b)) for a, row in enumerate(np.argsort(-cos, axis=1)[:, :5]) for b in row}

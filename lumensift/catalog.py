@@ -308,11 +308,18 @@ def boilerplate_facet(spark: SparkSession, d: str) -> DataFrame:
 @query(r"""SELECT doc_id, len(regexp_extract_all(lower(text), '\bdoi\s*:\s*|https?://doi\.org/')) >= 2 OR (len(regexp_extract_all(text, '\b[A-Z][a-z]+(?:\s+et\s+al\.)?[, ]+\(?20\d{2}\)?')) >= 3
 AND len(regexp_extract_all(text, '\b(?:19|20)\d{2}\b')) >= 4) AS is_reference FROM documents WHERE text IS NOT NULL AND lang = 'en' AND NOT regexp_matches(text, '[^\x00-\x7f]')""")
 def reference_like(spark: SparkSession, d: str) -> DataFrame:
-    """Over the English texts of ASCII (word boundaries of the two engines differ elsewhere)."""
+    """The part of reference_like_all that its SQL can check: English texts of ASCII (word boundaries of the two engines differ elsewhere)."""
     rows = table(spark, d, "documents").filter("text is not null and lang = 'en'").filter(~F.col("text").rlike(r"[^\x00-\x7f]"))
     return rows.select("doc_id", X.reference_like(F.col("text")).alias("is_reference"))
 
 
+@query()
+def reference_like_all(spark: SparkSession, d: str) -> DataFrame:
+    """Over every text, whatever its language, label and script."""
+    rows = table(spark, d, "documents").filter("text is not null")
+    return rows.select("doc_id", X.reference_like(F.col("text")).alias("is_reference"))
+
+
 LEVEL = rf"""CASE WHEN contains(lower(text), '{CONCEPT}') THEN 'exact_phrase' WHEN contains(regexp_replace(regexp_replace(lower(text), '[‐-―\-]+', ' ', 'g'), '\s+', ' ', 'g'), '{CONCEPT}') THEN 'normalized_phrase'
  WHEN regexp_matches(regexp_replace(lower(text), '[‐-―\-]+', ' ', 'g'), '\b(patient|portal)\b') THEN 'partial_term_match' ELSE 'no_match' END"""
 

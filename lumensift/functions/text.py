@@ -13,6 +13,8 @@ from lumensift.config import DEFAULT, EngineConfig
 
 #: White space as the engine means it: Unicode's, and the four separators U+001C to U+001F.
 WS = r"[\s\x1c-\x1f]"
+#: A word's characters: letters and numbers of any script, but no combining marks.
+WORD = r"[\p{L}\p{N}_]"
 
 # Word lists, lookup tables and patterns that results depend on.
 SPELLINGS = [
@@ -142,9 +144,10 @@ def lexical_level(concept: Column, text: Column) -> Column:
 
 
 def reference_like(text: Column) -> Column:
-    count = lambda c, p: F.regexp_count(c, F.lit(p))
-    return (count(fold(text), r"(?U)\bdoi\s*:\s*|https?://doi\.org/") >= 2) | (
-        (count(text, r"(?U)\b[A-Z][a-z]+(?:\s+et\s+al\.)?[, ]+\(?20\d{2}\)?") >= 3) & (count(text, r"(?U)\b(?:19|20)\d{2}\b") >= 4)
+    count = lambda c, p: F.regexp_count(c, F.lit("(?U)" + p))
+    start, end = rf"(?<!{WORD})", rf"(?!{WORD})"
+    return (count(fold(text), rf"{start}doi{WS}*:{WS}*|https?://doi\.org/") >= 2) | (
+        (count(text, rf"{start}[A-Z][a-z]+(?:{WS}+et{WS}+al\.)?[, ]+\(?20\d{{2}}\)?") >= 3) & (count(text, rf"{start}(?:19|20)\d{{2}}{end}") >= 4)
     )
 
 

@@ -391,7 +391,7 @@ def keep_best_dedup(spark: SparkSession, d: str) -> DataFrame:
 k AS (SELECT *, trim(regexp_replace(statement, '\\W+', ' ', 'g')) AS k FROM p)
 SELECT citation_key, first(statement ORDER BY chunk_id) AS statement, list(chunk_id ORDER BY chunk_id) AS evidence_ids, max(length(excerpt)) AS longest FROM k GROUP BY citation_key, k""")
 def merge_points(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks with the same beginning as points that are merged (the numbering of a whole table's points is left out)."""
+    """The part of merging that its SQL can check: beginnings of ASCII as statements, without numbers and excerpts. merge_points_all is the whole."""
     rows = chunks(spark, d).filter("text is not null").filter(~F.substring("text", 1, 24).rlike(r"[^\x00-\x7f]"))
     rows = rows.select("citation_key", F.lower(F.substring("text", 1, 24)).alias("statement"), F.array("chunk_id").alias("evidence_ids"), F.col("text").alias("source_excerpt"), F.col("chunk_id").alias("pos"))
     key = X.statement_key(F.col("statement"))
@@ -399,6 +399,16 @@ def merge_points(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("citation_key", key.alias("k")).agg(F.min_by("statement", "pos").alias("statement"), ids.alias("evidence_ids"), F.max(F.length("source_excerpt")).alias("longest")).drop("k")
 
 
+@query()
+def merge_points_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every chunk's whole text as a point (blank ones are none), merged within its paper and numbered over the table."""
+    # Of re-delivered rows always the same one, as the points are read more than once.
+    one = table(spark, d, "chunks").filter("chunk_id is not null").groupBy("chunk_id").agg(F.max(F.struct("text", "citation_key")).alias("r"))
+    rows = one.select("chunk_id", "r.*").filter(X.trim(F.col("text")) != "")
+    points = rows.select("citation_key", F.col("text").alias("statement"), F.array("chunk_id").alias("evidence_ids"), F.col("text").alias("source_excerpt"), F.col("chunk_id").alias("pos"))
+    return rank.merge_points(points, ["citation_key"], wide=True)
+
+
 @query(f"""WITH {DHITS}, g AS (SELECT *, coalesce(nullif(citation_key, ''), nullif(parent_key, ''), attachment_key) AS document FROM h WHERE score IS NOT NULL)
 SELECT document, round(max(score), 6) AS score, count(*) AS chunk_count, first(title ORDER BY hit_id) AS title FROM g GROUP BY document ORDER BY max(score) DESC, count(*) DESC, document LIMIT 15""")
 def group_hits(spark: SparkSession, d: str) -> DataFrame:

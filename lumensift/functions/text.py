@@ -209,7 +209,7 @@ def without_fences(text: Column) -> Column:
 
 
 def statement_key(text: Column) -> Column:
-    return F.trim(F.regexp_replace(fold(text), r"(?U)\W+", " "))
+    return F.trim(F.regexp_replace(fold(text), r"[^\p{L}\p{N}_]+", " "))
 
 
 def full_name(first: Column, last: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lumensift.config import DEFAULT, EngineConfig
 from lumensift.functions import text as X
+from lumensift.io import written
 
 
 def keep_one(df: DataFrame, keys: list[Column | str], order: list[Column | str]) -> DataFrame:
@@ -56,17 +57,33 @@ def batches(df: DataFrame, order: list[Column | str], size: int, prefix: str, wi
     return df.withColumn("_n", n).withColumn("evidence_id", F.format_string(f"{prefix}%0{width}d", "_n")).withColumn("batch", F.floor((F.col("_n") - 1) / size).cast("int")).drop("_n")
 
 
-def merge_points(points: DataFrame, keys: list[str], pos: str = "pos") -> DataFrame:
+def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
+    """`df` with the place of each row in the order (unique values), from 1; ranges are numbered apart, so no task sees all rows."""
+    ranges = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("_m", F.monotonically_increasing_id())
+    # The id's upper bits are the partition, its lower 33 the place within.
+    placed = written(ranges.withColumn("_part", F.shiftright("_m", 33)).withColumn("_own", F.col("_m").bitwiseAND(2**33 - 1)).drop("_m"), "numbered")
+    before, total = [], 0
+    for part, count in sorted(map(tuple, placed.groupBy("_part").count().collect())):
+        before.append((part, total))
+        total += count
+    starts = F.broadcast(df.sparkSession.createDataFrame(before, "_part long, _before long"))
+    return placed.join(starts, "_part").withColumn(name, F.col("_own") + F.col("_before") + 1).drop("_part", "_own", "_before")
+
+
+def merge_points(points: DataFrame, keys: list[str], pos: str = "pos", wide: bool = False) -> DataFrame:
     """Points with the same statement made one: evidence ids in order of first sight, the longest excerpt (first on ties), renumbered.
 
-    points: keys, statement, evidence_ids, source_excerpt, pos.
+    points: keys, statement, evidence_ids, source_excerpt, pos (unique). wide: for a whole table's points, which are read
+    more than once and must be the same each time; texts join what was merged and numbered by their places alone.
     """
-    rows = points.withColumn("_k", X.statement_key(F.col("statement")))
+    rows = points.withColumn("_k", F.sha2(X.statement_key(F.col("statement")), 256)).withColumn("_size", -F.coalesce(F.length("source_excerpt"), F.lit(-1)))
     ids = F.array_distinct(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct(F.col(pos).alias("p"), "evidence_ids"))), lambda x: x["evidence_ids"])))
-    one = rows.groupBy(*keys, "_k").agg(
-        F.min(pos).alias("_pos"), F.min_by("statement", pos).alias("statement"), ids.alias("evidence_ids"), F.max_by("source_excerpt", F.struct(F.length("source_excerpt"), -F.col(pos))).alias("source_excerpt")
-    )
-    return one.withColumn("point_id", F.format_string("P%02d", F.row_number().over(W.orderBy("_pos")))).drop("_k", "_pos")
+    one = rows.groupBy(*keys, "_k").agg(F.min(pos).alias("_pos"), F.min(F.struct("_size", F.col(pos).alias("p")))["p"].alias("_long"), ids.alias("evidence_ids")).drop("_k")
+    placed = numbered(one, "_pos", "_n") if wide else one.withColumn("_n", F.row_number().over(W.orderBy("_pos")))
+    far = placed.filter("_long <> _pos").select("_pos", F.col("_long").alias(pos)).join(points.select(pos, F.col("source_excerpt").alias("_far")), pos).select("_pos", "_far")
+    texts = placed.join(points.select(F.col(pos).alias("_pos"), "statement", "source_excerpt"), "_pos").join(far, "_pos", "left")
+    excerpt = F.when(F.col("_long") != F.col("_pos"), F.col("_far")).otherwise(F.col("source_excerpt"))
+    return texts.select(*keys, "statement", "evidence_ids", excerpt.alias("source_excerpt"), F.format_string("P%02d", "_n").alias("point_id"))
 
 
 def best_definitions(assessed: DataFrame, k: int, pos: str = "pos") -> DataFrame:

@@ -28,3 +28,23 @@ def test_reference_like_all(spark, tmp_path):
     got = {r.doc_id: r.is_reference for r in catalog.queries()["reference_like_all"](spark, d).collect()}
     assert got == {i: reference_like(t) for i, t in enumerate(texts)}
     assert len(set(got.values())) == 2
+
+
+def merge_points(rows):
+    merged = {}
+    for chunk, paper, text in sorted(rows, key=lambda r: r[0]):
+        if not (text or "").strip():
+            continue
+        key = paper, re.sub(r"\W+", " ", text.casefold()).strip()
+        first, ids, longest = merged.get(key, (text, [], ""))
+        merged[key] = first, [*ids, chunk], text if len(text) > len(longest) else longest
+    return [(paper, f"P{n:02d}", *point) for n, ((paper, _), point) in enumerate(merged.items(), 1)]
+
+
+def test_merge_points_all(spark, tmp_path):
+    same = "The same twenty-four letters and more"
+    texts = [same + " A.", same + " B.", same + ", a!", "Größe und Maß", "GRÖSSE — und maß…", "हिन्दी", "हिन्दु", "e\u0301tude", "étude", "統計の要約", "统计摘要", "", " \u3000", None, "x²", "x 2", "…", "—"]
+    rows = [(f"c{i:03d}", f"p{i % 2}" if i % 7 else None, texts[(i // 2) % len(texts)]) for i in range(150)]
+    d = saved(spark, tmp_path, "chunks", rows, "chunk_id string, citation_key string, text string")
+    got = catalog.queries()["merge_points_all"](spark, d).select("citation_key", "point_id", "statement", "evidence_ids", "source_excerpt").collect()
+    assert sorted(map(tuple, got), key=lambda r: int(r[1][1:])) == merge_points(rows)

@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -588,8 +588,20 @@ def evidence_ids(spark: SparkSession, d: str) -> DataFrame:
 k AS (SELECT *, trim(regexp_replace(lower(left(text, 60)), '\\W+', ' ', 'g')) AS k, CASE WHEN section_type = 'results' THEN 3 ELSE 2 END AS c FROM e)
 SELECT hit_id FROM (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY k ORDER BY c DESC, score DESC, hit_id) = 1) ORDER BY c DESC, score DESC, hit_id LIMIT 50""")
 def assessment_join(spark: SparkSession, d: str) -> DataFrame:
-    """Assessed passages joined to their evidence: of equal texts the best by confidence and score."""
+    """The part of assessment_join_all that its SQL can check: beginnings of ASCII as texts, keyed without their punctuation."""
     evidence = _hits(spark, d).filter("score is not null").filter(~F.substring("text", 1, 60).rlike(r"[^\x00-\x7f]"))
-    answers = evidence.filter(F.col("section_type").isin("results", "discussion")).select("hit_id", F.when(F.col("section_type") == "results", "high").otherwise("medium").alias("confidence"), F.substring("text", 1, 60).alias("extracted_text"))
+    return _assessed(evidence, F.substring("text", 1, 60), X.statement_key).select("hit_id")
+
+
+@query()
+def assessment_join_all(spark: SparkSession, d: str) -> DataFrame:
+    """Assessed passages joined to their evidence: of equal whole texts the best by confidence and score."""
+    return _assessed(_hits(spark, d).filter("score is not null"), F.col("text"), X.definition_key).select("hit_id")
+
+
+def _assessed(evidence: DataFrame, text: Column, key: Callable[[Column], Column]) -> DataFrame:
+    """Hits of results and discussions as answers of high and medium confidence, joined to the evidence; the 50 best."""
+    confidence = F.when(F.col("section_type") == "results", "high").otherwise("medium").alias("confidence")
+    answers = evidence.filter(F.col("section_type").isin("results", "discussion")).select("hit_id", confidence, text.alias("extracted_text"))
     joined = evidence.select("hit_id", F.col("score").alias("candidate_score")).join(answers, "hit_id").withColumn("lexical_match", F.lit("no_match")).withColumn("pos", F.col("hit_id"))
-    return rank.best_definitions(joined, 50).select("hit_id")
+    return rank.best_definitions(joined, 50, key=key)

@@ -127,6 +127,11 @@ def normal_phrase(text: Column) -> Column:
     return american(collapse(F.regexp_replace(fold(text), r"[‐-―\-]+", " ")))
 
 
+def definition_key(text: Column) -> Column:
+    """What makes two definitions the same: the normalised whole text, null where nothing of it is left."""
+    return F.nullif(normal_phrase(nfkc(text)), F.lit(""))
+
+
 def same_concept(a: Column, b: Column) -> Column:
     return normal_phrase(a) == normal_phrase(b)
 

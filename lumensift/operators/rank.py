@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -86,12 +87,15 @@ def merge_points(points: DataFrame, keys: list[str], pos: str = "pos", wide: boo
     return texts.select(*keys, "statement", "evidence_ids", excerpt.alias("source_excerpt"), F.format_string("P%02d", "_n").alias("point_id"))
 
 
-def best_definitions(assessed: DataFrame, k: int, pos: str = "pos") -> DataFrame:
-    """Of equal definition texts the best by (confidence, candidate score); these by (confidence, score, any lexical match)."""
+def best_definitions(assessed: DataFrame, k: int, pos: str = "pos", key: Callable[[Column], Column] = X.definition_key) -> DataFrame:
+    """Of equal definition texts the best by (confidence, candidate score); these by (confidence, score, any lexical match).
+
+    Texts without a key are none.
+    """
     confidence = F.when(F.col("confidence") == "high", 3).when(F.col("confidence") == "medium", 2).otherwise(1)
-    rows = assessed.withColumn("_c", confidence)
-    one = keep_one(rows, [X.statement_key(F.col("extracted_text"))], [F.desc("_c"), F.desc("candidate_score"), pos])
-    return one.orderBy(F.desc("_c"), F.desc("candidate_score"), F.desc((F.col("lexical_match") != "no_match").cast("int")), pos).limit(k).drop("_c")
+    rows = assessed.withColumn("_c", confidence).withColumn("_k", F.sha2(key(F.col("extracted_text")), 256)).filter("_k is not null")
+    one = keep_one(rows, ["_k"], [F.desc("_c"), F.desc("candidate_score"), pos])
+    return one.orderBy(F.desc("_c"), F.desc("candidate_score"), F.desc((F.col("lexical_match") != "no_match").cast("int")), pos).limit(k).drop("_c", "_k")
 
 
 def known_ids(ids: Column, valid: Column) -> Column:

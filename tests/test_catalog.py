@@ -1,8 +1,10 @@
 """Queries that have no SQL, over small tables, against plain Python."""
 
 import re
+import unicodedata
 
 from lumensift import catalog
+from lumensift.functions import text as X
 
 
 def saved(spark, folder, name, rows, schema):
@@ -48,3 +50,31 @@ def test_merge_points_all(spark, tmp_path):
     d = saved(spark, tmp_path, "chunks", rows, "chunk_id string, citation_key string, text string")
     got = catalog.queries()["merge_points_all"](spark, d).select("citation_key", "point_id", "statement", "evidence_ids", "source_excerpt").collect()
     assert sorted(map(tuple, got), key=lambda r: int(r[1][1:])) == merge_points(rows)
+
+
+def phrase(text):
+    text = re.sub(r"[\u2010-\u2015\-]+", " ", unicodedata.normalize("NFKC", text).casefold())
+    text = re.sub(r"\s+", " ", text).strip()
+    for british, american in X.SPELLINGS:
+        text = re.sub(rf"\b{british}\b", american, text)
+    return text
+
+
+def assessment_join(rows):
+    """Hit ids of the best 50, from (hit_id, section_type, score, text)."""
+    rank = {"results": 3, "discussion": 2}
+    rows = sorted(((rank[s], score, i, t) for i, s, score, t in rows if s in rank and score is not None and t is not None), key=lambda r: (-r[0], -r[1], r[2]))
+    first = {}
+    for _, _, i, t in rows:
+        if key := phrase(t):
+            first.setdefault(key, i)
+    return list(first.values())[:50]
+
+
+def test_assessment_join_all(spark, tmp_path):
+    start = "These sixty characters are the same in each of the passages: "
+    texts = [start + "first end", start + "second end", start + "first  END", start + "first end.", "Größe – das Maß", "GRÖSSE das MASS", "ｆｕｌｌ width", "full width", "labour centre", "Labor—Center", "統計の要約", "हिन्दी", "हिन्दु", "", " - ", "\u2014", None]
+    rows = [(i, ["results", "discussion", "methods", None][i % 4], None if i % 13 == 5 else (i * 37 % 50) / 50, texts[i % len(texts)]) for i in range(200)]
+    d = saved(spark, tmp_path, "chunk_hits", rows, "hit_id long, section_type string, score double, text string")
+    got = [r.hit_id for r in catalog.queries()["assessment_join_all"](spark, d).collect()]
+    assert got == assessment_join(rows) and len(got) > 8

@@ -359,6 +359,32 @@ class Scanned:
 
         return joined.mapInPandas(run, "attachment_key string, page_number int, paragraph int, text string")
 
+    def repaired(self, paragraphs: DataFrame) -> DataFrame:
+        """(attachment_key, paragraph_id, text): every paragraph row repaired with the corpus' corrections, one row each; blank ones stay empty."""
+        whole = paragraphs.filter("paragraph_id is not null and text is not null").groupBy("attachment_key", "paragraph_id").agg(F.max("text").alias("text"))
+        own = written(whole, "paragraph-texts")
+
+        def tokens(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                rows = [(a, p, w) for a, p, t in zip(frame["attachment_key"], frame["paragraph_id"], frame["text"]) for w in {*words_of(t), *split_pairs(t)}]
+                yield pd.DataFrame(rows, columns=["attachment_key", "paragraph_id", "token"])
+
+        found = written(own.mapInPandas(tokens, "attachment_key string, paragraph_id string, token string"), "paragraph-tokens")
+        pairs = found.filter(F.col("token").contains(" ")).select(F.col("token").alias("found")).distinct()
+        # Words have their corrections already, as the vocabulary holds the paragraphs; pairs are those of the pages and of the paragraphs.
+        more = corrections(self.counts, pairs).unionByName(self.corrections).groupBy("found").agg(F.max("meant").alias("meant"))
+        fixes = found.join(more.withColumnRenamed("found", "token"), "token").groupBy("attachment_key", "paragraph_id").agg(F.map_from_entries(F.collect_list(F.struct("token", "meant"))).alias("fix"))
+        same = own["attachment_key"].eqNullSafe(fixes["attachment_key"]) & (own["paragraph_id"] == fixes["paragraph_id"])
+        joined = own.join(fixes, same, "left").select(own["attachment_key"], own["paragraph_id"], "text", "fix")
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                out = frame[["attachment_key", "paragraph_id"]].copy()
+                out["text"] = ["\n\n".join(rebuilt(t, dict(fix) if fix is not None else {})) for t, fix in zip(frame["text"], frame["fix"])]
+                yield out
+
+        return joined.mapInPandas(run, "attachment_key string, paragraph_id string, text string")
+
 
 def _cased(like: str, word: str) -> str:
     return word.upper() if like.isupper() and len(like) > 1 else word[:1].upper() + word[1:] if like[:1].isupper() else word

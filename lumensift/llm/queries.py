@@ -43,6 +43,12 @@ def p2_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     return pages.Scanned(table(spark, d, "document_pages"), table(spark, d, "paragraphs")).paragraphs()
 
 
+def p2_paragraph_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The repaired text of every row of the paragraphs, by its id."""
+    paragraphs = table(spark, d, "paragraphs")
+    return pages.Scanned(table(spark, d, "document_pages"), paragraphs).repaired(paragraphs)
+
+
 def _language_records(spark: SparkSession, d: str) -> DataFrame:
     items = languages.records(table(spark, d, "items"), "items", "item_key", "abstract", "language", "item_key")
     chunks = languages.records(table(spark, d, "chunks"), "chunks", "chunk_id", "text", "language", "parent_key")

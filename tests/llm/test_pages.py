@@ -66,3 +66,12 @@ def test_numbers_and_keys():
     assert P.beside("119   Open chart") == [119] and P.beside("Open chart   122") == [122] and P.beside("Studies 28 (1996)") == []
     assert P.line_key("Opcn chart and thc annotation 12") == P.line_key("15 Open chart and the annotation")
     assert P.rebuilt("one funda-\nmental\ntheme\n\nnext", {}) == ["one fundamental theme", "next"]
+
+
+def test_paragraph_rows(spark):
+    rows, _ = attachments()
+    parts = [("a0", "p1", "sample funda-\nmental results\nthemc were clear"), ("a0", "p2", "the question naire were clear"), ("z", "p1", "t h e m e and\nvillage"), (None, "p9", "clear funda-\nmental"), ("z", "p3", " \n"), ("z", "p4", None), ("z", None, "lost")]
+    paragraphs = spark.createDataFrame(parts + parts[:1], "attachment_key string, paragraph_id string, text string")
+    found = P.Scanned(spark.createDataFrame(rows, SCHEMA), paragraphs).repaired(paragraphs)
+    got = sorted((tuple(r) for r in found.collect()), key=str)
+    assert got == sorted([("a0", "p1", "sample fundamental results theme were clear"), ("a0", "p2", "the questionnaire were clear"), ("z", "p1", "theme and village"), (None, "p9", "clear fundamental"), ("z", "p3", "")], key=str)

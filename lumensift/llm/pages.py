@@ -4,7 +4,7 @@ Lines of a page are labelled header, folio, body or break by a hidden Markov mod
 layout features: place on the page, recurrence of the line on other pages of its attachment
 (misreadings and numbers aside), what number it holds and whether that number runs along with
 the pages, and length. Starting from seed shares, the model is fitted by Viterbi training on
-at most SAMPLE pages chosen by a hash of their keys; all pages are labelled. Body lines between
+all pages, whose counts are summed in each round. Body lines between
 breaks are joined to paragraphs, words cut at line ends are made whole, and misread, split and
 spaced-out words are put right by the corpus' own vocabulary: a rare word that one or two usual
 misreadings part from a far more frequent one was that word.
@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from lumensift.io import written
 
 HEADER, FOLIO, BODY, BREAK = range(4)
-#: Lines at the top and bottom of a page that may be running lines, pages on which a line recurs, and pages of the fit.
-EDGE, RECURS, SAMPLE, ROUNDS = 3, 2, 2000, 3
+#: Lines at the top and bottom of a page that may be running lines, pages on which a line recurs, and rounds of the fit.
+EDGE, RECURS, ROUNDS = 3, 2, 3
 #: A misread word is this much rarer than the word it was, which occurs at least so often.
 RARER, LEAST = 15, 5
 #: Hyphen-like marks, and usual misreadings (read, meant).
@@ -161,17 +161,26 @@ class Labeller:
             path.append(int(b[path[-1]]))
         return path[::-1]
 
+    def counted(self, pages: Iterator[list[int]]) -> np.ndarray:
+        """Starts, changes and symbols on the pages' likeliest paths, in one row of numbers."""
+        start, change, emit = np.zeros(4), np.zeros((4, 4)), np.zeros((4, SYMBOLS))
+        for symbols in pages:
+            path = self(symbols)
+            if path:
+                start[path[0]] += 1
+                np.add.at(change, (path[:-1], path[1:]), 1)
+                np.add.at(emit, (path, symbols), 1)
+        return np.concatenate([start, change.ravel(), emit.ravel()])
+
+    def refit(self, counts: np.ndarray) -> "Labeller":
+        """A round of Viterbi training; the seed shares stay in it as pseudo-counts."""
+        start, change, emit = np.exp(self.start) * 20, np.exp(self.change) * 20, self.seed * 400
+        self._set(start + counts[:4], change + counts[4:20].reshape(4, 4), emit + counts[20:].reshape(4, SYMBOLS))
+        return self
+
     def fit(self, pages: list[list[int]]) -> "Labeller":
-        """Viterbi training; the seed shares stay in it as pseudo-counts."""
         for _ in range(ROUNDS):
-            start, change, emit = np.exp(self.start) * 20, np.exp(self.change) * 20, self.seed * 400
-            for symbols in pages:
-                path = self(symbols)
-                if path:
-                    start[path[0]] += 1
-                    np.add.at(change, (path[:-1], path[1:]), 1)
-                    np.add.at(emit, (path, symbols), 1)
-            self._set(start, change, emit)
+            self.refit(self.counted(pages))
         return self
 
 
@@ -209,12 +218,33 @@ def _features(text: str, lines) -> list[int]:
     return features(text, {x["line"]: x["n"] - 1 for x in marks if x["n"]}, {x["line"]: x["m"] for x in marks if x["m"]})
 
 
+def fitted(laid: DataFrame) -> Labeller:
+    """The model of all pages: each round sums the counts of every task's pages, so only a fixed number of sums comes to the driver."""
+
+    def symbols(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame({"symbols": [_features(text, lines) for text, lines in zip(frame["text"], frame["lines"])]})
+
+    pages = written(laid.select("text", "lines").mapInPandas(symbols, "symbols array<int>"), "page-symbols")
+    model = Labeller()
+    for _ in range(ROUNDS):
+
+        def run(frames: Iterator[pd.DataFrame], model: Labeller = model) -> Iterator[pd.DataFrame]:
+            total = sum(model.counted([x.tolist() for x in frame["symbols"]]) for frame in frames)
+            if isinstance(total, np.ndarray):
+                yield pd.DataFrame({"place": np.flatnonzero(total), "n": total[total > 0]})
+
+        sums = np.zeros(20 + 4 * SYMBOLS)
+        for place, n in pages.mapInPandas(run, "place long, n double").groupBy("place").agg(F.sum("n")).collect():
+            sums[place] = n
+        model.refit(sums)
+    return model
+
+
 def labelled(pages: DataFrame) -> DataFrame:
     """(attachment_key, page_number, text, labels, folio): a label for each line, and whether a page number stands alone or in a running line."""
     laid = written(laid_out(pages), "page-layout")
-    share = F.pmod(F.xxhash64("attachment_key", "page_number"), F.lit(1 << 20))
-    sample = laid.orderBy(share, "attachment_key", "page_number").limit(SAMPLE).select("text", "lines").collect()
-    model = laid.sparkSession.sparkContext.broadcast(Labeller().fit([_features(r.text, r.lines) for r in sample]))
+    model = laid.sparkSession.sparkContext.broadcast(fitted(laid))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

@@ -75,3 +75,11 @@ def test_paragraph_rows(spark):
     found = P.Scanned(spark.createDataFrame(rows, SCHEMA), paragraphs).repaired(paragraphs)
     got = sorted((tuple(r) for r in found.collect()), key=str)
     assert got == sorted([("a0", "p1", "sample fundamental results theme were clear"), ("a0", "p2", "the questionnaire were clear"), ("z", "p1", "theme and village"), (None, "p9", "clear fundamental"), ("z", "p3", "")], key=str)
+
+
+def test_fit_takes_all_pages(spark):
+    rows = [(f"a{i // 10}", i % 10 + 1, "\n".join(["Notes", *["words and words"] * (1 + i % 5), "", str(i)]), [] if i % 3 else None) for i in range(2400)]
+    laid = spark.createDataFrame(rows, "attachment_key string, page_number int, text string, lines array<struct<line:int,n:int,m:int>>")
+    want = P.Labeller().fit([P._features(text, None) for _, _, text, _ in rows])
+    got = P.fitted(laid)
+    assert all(abs(a - b).max() < 1e-9 for a, b in ((got.start, want.start), (got.change, want.change), (got.emit, want.emit)))

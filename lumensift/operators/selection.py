@@ -113,7 +113,12 @@ def top_rows(df: DataFrame, key: str, value: str, ident: str, k: int) -> DataFra
     tied = near.filter("score = edge")
     free = tied.groupBy("key").agg(F.count("*").alias("n_tied")).join(above.groupBy("key").agg(F.count("*").alias("n_above")), "key", "left").selectExpr("key", "0 AS target", f"{k} - coalesce(n_above, 0) AS rank", "n_tied")
     last = select_ranks(tied.selectExpr("key", "ident AS value"), free).select("key", F.col("value").alias("last"))
-    kept = tied.join(F.broadcast(last) if n_keys <= BROADCAST_STATES else last, "key").filter("ident <= last")
+    if n_keys <= BROADCAST_STATES:
+        kept = tied.join(F.broadcast(last), "key")
+    else:  # a key may have any number of tied rows
+        salted = last.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        kept = tied.withColumn("salt", F.pmod(F.xxhash64("ident"), F.lit(SALTS)).cast("int")).join(salted, ["key", "salt"])
+    kept = kept.filter("ident <= last")
     cols = [F.col("key").alias(key), F.col("score").alias(value), F.col("ident").alias(ident)]
     return above.select(*cols).unionByName(kept.select(*cols))
 

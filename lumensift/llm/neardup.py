@@ -7,11 +7,15 @@ chunks; if two differ in at most RADIUS slots, by pigeonhole some chunk differs
 than its share of errors, so each chunk is indexed under every way of leaving out that many
 slots and all pairs within RADIUS meet, exactly. An exact check of the shingles follows.
 
+A key that more than HOT texts share (templates, licences) is not joined: its texts are laid out in
+blocks and each two blocks are one task's comparison of signatures, in which a pair is given at its
+first common key alone; so a pair of a hot group comes up once, and no task sees a whole group.
+
 Texts with the same words form one class and are joined once, through a representative;
-so copies cost one row each, however many there are. In results copies are written out as
-pairs up to EXPAND to a class; a larger class is given as its representative with each
-member, and its links as those of the representative (pairs of representatives plus
-membership), so that no link between different texts is lost.
+so copies cost one row each, however many there are. In pairs() each copy is paired with the first
+COPIES ids of its class and of the classes linked with it, whatever a class's size; up to that many
+copies these are all pairs, and of more they still hold every member and every link between
+different texts, in proportion to the rows.
 
 Null, empty and texts of fewer than SHINGLE words have no shingles and no part in it.
 Rows repeated under one chunk_id count once.
@@ -28,16 +32,19 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lumensift.io import written
 
 #: Slots, chunks they are split into, and the signature distance within which every pair is found.
 SLOTS, PARTS, RADIUS = 20, 4, 10
-#: Beyond this distance a pair that met by chance is not compared (at a similarity of 0.7 less than one in 10^5 lies there).
-FAR = 14
-#: Copies of one text up to which a class is written out as pairs.
-EXPAND = 1000
+#: Beyond this distance a pair that met by chance is not compared (at a similarity of 0.7 six in a million lie there).
+FAR = 15
+#: First ids of a class that stand for it in pairs.
+COPIES = 100
+#: Texts that may share a key of the join, texts of a block beyond it, and shares in which keys meet their counts.
+HOT, HOT_BLOCK, SALTS = 200, 2000, 16
 _WORDS = re.compile(r"[^\W_]+")
 
 
@@ -150,15 +157,55 @@ def signed(docs: DataFrame, shingle: int, id_col: str = "chunk_id", text_col: st
     return source.mapInArrow(run, "id string, c1 long, c2 long, sig array<int>").dropDuplicates(["id"])
 
 
-def candidates(reps: DataFrame) -> DataFrame:
+def candidates(reps: DataFrame, hot: int = HOT, block: int = HOT_BLOCK) -> DataFrame:
     """Pairs (a, b), a < b, of representatives (rep, sig) that share an index key and differ in at most FAR slots."""
-    keys = F.array(*[F.xxhash64(F.lit(i), *[F.col("sig")[s] for s in slots]) for i, slots in enumerate(index_keys())])
-    index = reps.select("rep", F.explode(keys).alias("k"))
-    met = index.alias("x").join(index.alias("y"), "k").filter("x.rep < y.rep").select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+    keys = F.array(*[F.struct(F.lit(i).alias("i"), F.xxhash64(F.lit(i), *[F.col("sig")[s] for s in slots]).alias("k")) for i, slots in enumerate(index_keys())])
+    index = reps.select("rep", F.explode(keys).alias("x")).select("rep", "x.i", "x.k")
+    # Most keys are one text's own: only those of several go on, met in shares as a key may be that of any number of texts.
+    counts = index.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    shared = written(index.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int")).join(counts, ["k", "salt"]).drop("salt"), "neardup-index")
+    cold = shared.filter(F.col("n") <= hot).select("rep", "k")
+    met = cold.alias("x").join(cold.alias("y"), "k").filter("x.rep < y.rep").select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
     with_a = met.join(reps.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), "a")
     both = with_a.join(reps.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b")), "b")
     differ = F.aggregate(F.zip_with("sig_a", "sig_b", lambda p, q: (p != q).cast("int")), F.lit(0), lambda t, v: t + v)
-    return both.filter(differ <= FAR).select("a", "b")
+    found = both.filter(differ <= FAR).select("a", "b")
+    many = shared.filter(F.col("n") > hot)
+    return found if many.isEmpty() else found.unionByName(_in_blocks(many.join(reps, "rep"), block)).distinct()
+
+
+def close(x: np.ndarray, y: np.ndarray, key: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows of x, rows of y) of the pairs of signatures within FAR that have `key` as their first common key."""
+    same = np.zeros((len(x), len(y)), np.uint8)
+    for slot in range(SLOTS):
+        same += x[:, slot, None] == y[None, :, slot]
+    a, b = np.nonzero(same >= SLOTS - FAR)
+    equal = x[a] == y[b]
+    slots = index_keys()
+    first = equal[:, slots[key]].all(axis=1)
+    for before in range(key):
+        first &= ~equal[:, slots[before]].all(axis=1)
+    return a[first], b[first]
+
+
+def _in_blocks(rows: DataFrame, block: int) -> DataFrame:
+    """Pairs (a, b) of texts (rep, sig) that share a key (k, the i-th, of n texts): each two blocks of a key's texts are compared in one task."""
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    placed = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = placed.select("i", "k", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "rep", "sig")
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        low, high, key = int(frame["low"].iloc[0]), int(frame["high"].iloc[0]), int(frame["i"].iloc[0])
+        reps, sig = frame["rep"].to_numpy(object), np.stack(frame["sig"].to_list())
+        left, right = np.flatnonzero(frame["own"].to_numpy() == low), np.flatnonzero(frame["own"].to_numpy() == high)
+        out: list[tuple[str, str]] = []
+        for at in range(0, len(left), 500):
+            own = left[at : at + 500]
+            a, b = close(sig[own], sig[right], key)
+            out += [(p, q) if p < q else (q, p) for p, q in zip(reps[own[a]], reps[right[b]]) if p < q or low != high and q < p]
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    return placed.groupBy("k", "low", "high").applyInPandas(compare, "a string, b string")
 
 
 def similar(pairs: DataFrame, docs: DataFrame, shingle: int, least: float, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
@@ -197,25 +244,23 @@ class NearDuplicates:
         classes = rows.groupBy("c1", "c2").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("sig").alias("sig"))
         classes = written(classes, "neardup-classes")
         #: Only classes of several texts need the join; a class of one is its own representative.
-        copies = rows.select("id", "c1", "c2").join(classes.filter("n > 1").select("c1", "c2", "rep", "n"), ["c1", "c2"]).select("id", "rep", "n")
+        several = classes.filter("n > 1").select("c1", "c2", "rep", "n", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        copies = rows.select("id", "c1", "c2", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt")).join(several, ["c1", "c2", "salt"]).select("id", "rep", "n")
         self.copies = written(copies, "neardup-copies")
         self.classes = classes.select("rep", "n")
         found = written(candidates(classes.select("rep", "sig")), "neardup-pairs")
         self.links = written(similar(found, docs, shingle, least, id_col, text_col), "neardup-links")
 
-    def pairs(self, expand: int = EXPAND) -> DataFrame:
-        """(chunk_a, chunk_b) of all linked ids; classes beyond `expand` stand as representative plus members."""
-        small, large = self.copies.filter(F.col("n") <= expand), self.copies.filter(F.col("n") > expand)
-        side = small.select("id", "rep")
-        linked = (
-            self.links.select("a", "b")
-            .join(side.select(F.col("rep").alias("a"), F.col("id").alias("of_a")), "a", "left")
-            .join(side.select(F.col("rep").alias("b"), F.col("id").alias("of_b")), "b", "left")
-            .select(F.coalesce("of_a", "a").alias("p"), F.coalesce("of_b", "b").alias("q"))
-        )
-        within = side.alias("x").join(side.alias("y"), "rep").filter("x.id < y.id").select(F.col("x.id").alias("p"), F.col("y.id").alias("q"))
-        star = large.filter("id <> rep").select(F.col("rep").alias("p"), F.col("id").alias("q"))
-        return linked.unionByName(within).unionByName(star).select(F.least("p", "q").alias("chunk_a"), F.greatest("p", "q").alias("chunk_b"))
+    def pairs(self, copies: int = COPIES) -> DataFrame:
+        """(chunk_a, chunk_b) of linked ids, a copy with the first `copies` ids of its class and of the classes linked with it."""
+        side = self.copies.select("id", "rep")
+        first = written(side.withColumn("_n", F.row_number().over(W.partitionBy("rep").orderBy("id"))).filter(F.col("_n") <= copies).drop("_n"), "neardup-first")
+        links = self.links.select("a", "b").unionByName(self.links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        # Every link is gone through from both its ends: first ids of the one class, all of the other.
+        from_first = links.join(first.select(F.col("rep").alias("a"), F.col("id").alias("p")), "a", "left").select(F.coalesce("p", "a").alias("p"), "b")
+        linked = _shared(from_first, side, "b")
+        within = _shared(first.select(F.col("id").alias("p"), F.col("rep").alias("b")), side, "b").filter("p <> q")
+        return linked.unionByName(within).select(F.least("p", "q").alias("chunk_a"), F.greatest("p", "q").alias("chunk_b")).distinct()
 
     def groups(self) -> DataFrame:
         """(id, class_id, n_copies, n_links): every text with shingles, its class of equal texts and the class's links to others."""
@@ -224,3 +269,11 @@ class NearDuplicates:
         many = self.copies.select("id", "rep").join(classes.filter("n > 1"), "rep")
         one = classes.filter("n = 1").withColumn("id", F.col("rep"))
         return many.unionByName(one, allowMissingColumns=True).select("id", F.col("rep").alias("class_id"), F.col("n").alias("n_copies"), "n_links")
+
+
+def _shared(rows: DataFrame, members: DataFrame, key: str) -> DataFrame:
+    """(p, q): rows (p, key) with all members (id) of their class (the key itself where it has none), a class's members in SALTS shares."""
+    salted = rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    own = members.select(F.col("rep").alias(key), F.col("id").alias("q"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
+    alone = rows.join(members.select(F.col("rep").alias(key)).distinct(), key, "left_anti").select("p", F.col(key).alias("q"))
+    return salted.join(own, [key, "salt"]).select("p", "q").unionByName(alone)

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from lumensift.llm import neardup as N
 
@@ -41,9 +42,26 @@ def test_against_brute_force(spark):
     groups = {r.id: r for r in found.groups().collect()}
     assert set(groups) == {k for k, t, _ in rows if k and shingles(t, 3)}
     assert groups["long2"].class_id == "long" and groups["copy1"].n_copies == 3 == groups["g00c0"].n_copies
-    # Beyond the bound a class is its representative with its members.
-    star = {tuple(r) for r in found.pairs(expand=2).collect()}
-    assert ("copy1", "copy2") in star and ("copy2", "g00c0") not in star and star <= want
+    # A copy is paired with the first ids of its class alone: every member, and every link between different texts.
+    few = {tuple(r) for r in found.pairs(copies=1).collect()}
+    assert few <= want and ("copy1", "copy2") in few and ("copy1", "g00c0") in few and ("copy2", "g00c0") not in few
+    rep = {r.id: r.class_id for r in found.groups().collect()}
+    assert {(rep[a], rep[b]) for a, b in few if rep[a] != rep[b]} | {(rep[b], rep[a]) for a, b in few} >= {(rep[a], rep[b]) for a, b in want if rep[a] != rep[b]}
+
+
+def test_hot_keys(spark):
+    """Templates that share most keys are compared in blocks, with the same pairs as by the join."""
+    rng = random.Random(3)
+    base = [f"t{i}" for i in range(120)]
+    rows = []
+    for c in range(90):
+        own = base[:]
+        for _ in range(rng.randint(1, 5)):
+            own[rng.randrange(len(own))] = f"x{rng.randrange(1000)}"
+        rows.append((f"c{c:02d}", " ".join(own), "x"))
+    reps = N.signed(spark.createDataFrame(rows, SCHEMA), 3).select(F.col("id").alias("rep"), "sig")
+    whole = {tuple(r) for r in N.candidates(reps, hot=10**6).collect()}
+    assert whole and {tuple(r) for r in N.candidates(reps, hot=3, block=20).collect()} == whole
 
 
 def test_empty(spark):

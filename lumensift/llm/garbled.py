@@ -6,7 +6,8 @@ characters fall into SYMBOLS classes, so the table of pairs has a fixed bound
 mutual information, isolates runs of improbable pairs as maximum-scoring segments, and
 tries inverse mappings (the bytes of a legacy code page read as UTF-8) only inside
 those runs. A mapping is taken where the restored run is likelier than the one found.
-U+FFFD inside such a run marks text that is garbled beyond repair.
+U+FFFD is scored like any other symbol; inside such a run, and only there, it marks text that
+is garbled beyond repair.
 
 Null and empty texts are never garbled. One row per input row; repeated rows repeat.
 """
@@ -26,6 +27,8 @@ SYMBOLS = 2048
 SINGLE = [(0x0000, 0x024F), (0x0370, 0x052F), (0x2000, 0x206F), (0x20A0, 0x20BF), (0x2100, 0x214F), (0x2200, 0x22FF), (0x2500, 0x25FF), (0xFFFD, 0xFFFD)]
 #: Code pages that UTF-8 is commonly misread as.
 PAGES = ["cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1250", "cp1251", "iso8859-2", "iso8859-15", "cp866", "koi8-r"]
+#: East Asian pages of several bytes a character that UTF-8 is misread as.
+WIDE = ["gb18030", "cp932", "big5", "euc_kr", "euc_jp"]
 #: Single-byte pages taken for one another (page used, page meant).
 USED, MEANT = ["cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1251", "koi8-r", "cp1250"], ["cp1252", "cp437", "cp850", "mac_roman", "cp1251", "koi8-r", "cp866", "cp1250"]
 #: Pseudo-count for rare characters, as a share of all pairs: below it, a high mutual information proves nothing.
@@ -156,6 +159,25 @@ def _undo(text: str, page: str) -> tuple[str, int]:
     return pattern.sub(back, text), done
 
 
+_FOREIGN = re.compile(r"[^\x00-\x7f\ufffd]{2,}")
+
+
+def _undo_wide(text: str, page: str) -> tuple[str, int]:
+    """The text with the foreign stretches restored that are UTF-8 in an East Asian page's bytes, and the number of characters."""
+    done = 0
+
+    def back(m: re.Match) -> str:
+        nonlocal done
+        try:
+            out = m.group().encode(page).decode("utf-8")
+        except UnicodeError:
+            return m.group()
+        done += len(out)
+        return out
+
+    return _FOREIGN.sub(back, text), done
+
+
 def _single() -> list[tuple[set[str], dict[int, str]]]:
     """For each pair of pages, the characters of the one used and what their bytes mean in the other."""
     if not _SINGLE:
@@ -180,8 +202,8 @@ def restore(run: str, before: str, after: str, model: Model) -> str | None:
     for _ in range(DEPTH):
         old = model.likelihood(before + now + after)
         gains = []
-        for k, page in enumerate(PAGES):
-            new, done = _undo(now, page)
+        for k, page in enumerate([*PAGES, *WIDE]):
+            new, done = _undo(now, page) if k < len(PAGES) else _undo_wide(now, page)
             if done:
                 gains.append((model.likelihood(before + new + after) - old + PRIOR * done, -k, new))
         if not gains or max(gains)[0] < LEAST:
@@ -201,30 +223,32 @@ def restore(run: str, before: str, after: str, model: Model) -> str | None:
     return best
 
 
-def segments(ends: np.ndarray, at: np.ndarray) -> list[tuple[int, int]]:
-    """Maximum-scoring segments (first and last pair) over the positive pairs `at`, none across an end.
+def segments(ends: np.ndarray, at: np.ndarray, texts: np.ndarray) -> list[tuple[int, int]]:
+    """Maximum-scoring segments (first and last pair) over the positive pairs `at`, each within its text (`texts`, ascending).
 
     `ends` holds the running sums of the scores. Neighbouring positives are joined as long as the
-    pairs between them cost less than either side has gained.
+    pairs between them cost less than either side has gained (Ruzzo and Tompa 1999); each open segment
+    knows the last one before it that began lower, so the search back never goes over a segment twice.
     """
     out: list[tuple[int, int]] = []
-    stack: list[list[float]] = []  # first pair, last pair, sum before it, sum up to it
+    stack: list[tuple[int, int, float, float, int]] = []  # first pair, last pair, sum before it, sum up to it, last one that began lower
     before, upto = ends[at], ends[at + 1]
-    for i, low, high in zip(at.tolist(), before.tolist(), upto.tolist()):
-        if stack and low - stack[-1][3] < -24:  # a long probable stretch: nothing joins across it
-            out += [(int(f), int(t)) for f, t, _, _ in stack]
-            stack = []
-        new = [i, i, low, high]
+    now = -1
+    for i, low, high, text in zip(at.tolist(), before.tolist(), upto.tolist(), texts.tolist()):
+        if text != now:
+            out += [(f, t) for f, t, *_ in stack]
+            stack, now = [], text
+        first, last = i, i
         while True:
             j = len(stack) - 1
-            while j >= 0 and stack[j][2] >= new[2]:
-                j -= 1
-            if j < 0 or stack[j][3] >= new[3]:
-                stack.append(new)
+            while j >= 0 and stack[j][2] >= low:
+                j = stack[j][4]
+            if j < 0 or stack[j][3] >= high:
+                stack.append((first, last, low, high, j))
                 break
-            new = [stack[j][0], new[1], stack[j][2], new[3]]
+            first, low = stack[j][0], stack[j][2]
             del stack[j:]
-    return out + [(int(f), int(t)) for f, t, _, _ in stack]
+    return out + [(f, t) for f, t, *_ in stack]
 
 
 class Repairer:
@@ -267,8 +291,10 @@ class Repairer:
         at = np.flatnonzero((scores > 0) & (foreign[:-1] | foreign[1:]))
         ends = np.concatenate([[0.0], np.cumsum(scores, dtype=np.float64)])
         pieces: dict[int, list[tuple[int, int, str]]] = {}
+        lost: dict[int, int] = {}
         last_doc, last_end = -1, 0
-        for first, last in segments(ends, at):
+        owner = np.searchsorted(begins, at, "right") - 1
+        for first, last in segments(ends, at, owner):
             doc = int(np.searchsorted(begins, first, "right")) - 1
             low, high = int(begins[doc]), int(begins[doc + 1]) - 2
             if doc != last_doc:
@@ -284,18 +310,18 @@ class Repairer:
                 end -= 1
             if begin >= end:
                 continue
-            new = self._reading(whole[begin:end], whole[max(low, begin - 2) : begin], whole[end : min(high, end + 2)])
+            run = whole[begin:end]
+            if "\ufffd" in run:
+                lost[doc] = lost.get(doc, 0) + len(re.findall("\ufffd+", run))
+            new = self._reading(run, whole[max(low, begin - 2) : begin], whole[end : min(high, end + 2)])
             last_end = end
             if new is not None:
                 pieces.setdefault(doc, []).append((begin - low, end - low, new))
-        for n, k in enumerate(block):
-            text = texts[k]
-            lost = len(re.findall("\ufffd+", text)) if "\ufffd" in text else 0
-            out = text
+        for n in pieces.keys() | lost.keys():
+            out = texts[block[n]]
             for begin, end, new in reversed(pieces.get(n, [])):
                 out = out[:begin] + new + out[end:]
-            if lost or n in pieces:
-                results[k] = (out, len(pieces.get(n, [])), lost)
+            results[block[n]] = (out, len(pieces.get(n, [])), lost.get(n, 0))
 
 
 def fitted(docs: DataFrame, text_col: str = "text"):

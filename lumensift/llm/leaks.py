@@ -4,8 +4,12 @@ A word is the longest run of letters and digits of the lower-cased text. A docum
 holds an item when `n` consecutive words of the item stand in it in the same order
 with nothing but non-word characters between them. The test set's n-grams form a hash
 set that is broadcast after its size has been counted; the documents are scanned once,
-each window of known words looked up and each hit compared word by word. A test set
-beyond the bound is joined on the window hashes instead (`leaks_joined`).
+each window of known words looked up and each hit compared word by word.
+
+A test set whose built form is beyond the bound is joined instead, exactly and with the same results:
+one bit of each test window goes to every task in a filter of fixed size, only the corpus' windows
+that pass it move, with their words, and meet those of the test set in shares, as one window may
+stand in any number of documents.
 
 Null and empty texts (on either side) and items of fewer than `n` words hold nothing.
 Repeated rows give one result row. Extra columns are not read.
@@ -23,10 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lumensift.io import written
+
 #: Least number of shared consecutive words.
 N_WORDS = 12
-#: Characters of test text that may be broadcast; a larger test set takes the join.
-BROADCAST_CHARS = 64_000_000
+#: Characters of test text whose built set may be broadcast (some 8 bytes each, 100 MB); a larger test set takes the join.
+BROADCAST_CHARS = 12_000_000
+#: Bits of the filter (2 to this power, 32 MB), in parts of 2 to the power of PART_BITS; shares in which windows meet.
+FILTER_BITS, PART_BITS, SALTS = 28, 20, 16
 _WORDS = re.compile(r"[^\W_]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -148,62 +156,106 @@ def leaks(docs: DataFrame, items: DataFrame, n: int = N_WORDS, limit: int = BROA
     return docs.select("doc_id", "text").filter("text is not null").mapInPandas(run, "doc_id long, item_id long").distinct()
 
 
-def leaks_joined(docs: DataFrame, items: DataFrame, n: int = N_WORDS) -> DataFrame:
-    """leaks() for a test set of any size: windows meet in a hash join, then texts are compared."""
+def _windows(own: list[str], n: int) -> np.ndarray:
+    """Hashes of all windows of a text's words."""
+    if len(own) < n:
+        return np.empty(0, np.uint64)
+    return window_hashes(np.array([word_hash(w) for w in own], np.uint64), np.arange(len(own) - n + 1), n)
+
+
+def _bits(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+
+
+def _filter(bits: DataFrame) -> np.ndarray:
+    """The filter with the bits (bit) set: built in parts on the executors, of one size whatever the test set's."""
+
+    def part(frame: pd.DataFrame) -> pd.DataFrame:
+        held = np.zeros(1 << PART_BITS, bool)
+        held[frame["bit"].to_numpy() & ((1 << PART_BITS) - 1)] = True
+        return pd.DataFrame({"part": frame["part"].iloc[:1], "held": [np.packbits(held).tobytes()]})
+
+    rows = bits.distinct().withColumn("part", F.shiftright("bit", PART_BITS)).groupBy("part").applyInPandas(part, "part long, held binary")
+    out = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    size = 1 << (PART_BITS - 3)
+    for r in rows.collect():
+        out[r.part * size : (r.part + 1) * size] = np.frombuffer(r.held, np.uint8)
+    return out
+
+
+def window_hits(docs: DataFrame, items: DataFrame, n: int) -> DataFrame:
+    """(row, first, item_id): where the windows of test items stand in documents (row, text), by joins alone."""
 
-    def grams(key: str):
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                for k, text in zip(frame[key], frame["text"]):
-                    own = words(text)
-                    if len(own) >= n:
-                        values = np.array([word_hash(w) for w in own], np.uint64)
-                        got = np.unique(window_hashes(values, np.arange(len(own) - n + 1), n))
-                        yield pd.DataFrame({key: np.full(len(got), k), "h": got.view(np.int64)})
+    def theirs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for item, text in zip(frame["item_id"], frame["text"]):
+                own = words(text)
+                out += [(item, " ".join(own[k : k + n]), bit) for k, bit in enumerate(_bits(_windows(own, n)).tolist())]
+            yield pd.DataFrame(out, columns=["item_id", "gram", "bit"])
 
-        return run
+    grams = items.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id is not null and text is not null")
+    grams = written(grams.mapInPandas(theirs, "item_id long, gram string, bit long").distinct(), "test-windows")
+    shared = docs.sparkSession.sparkContext.broadcast(_filter(grams.select("bit")))
 
-    def verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def ours(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            keep = [any(True for _ in TestSet([(0, i)], n).scan([d])) for d, i in zip(frame["text"], frame["item_text"])]
-            yield frame.loc[keep, ["doc_id", "item_id"]]
+            out = []
+            for row, text in zip(frame["row"], frame["text"]):
+                own = words(text)
+                bits = _bits(_windows(own, n))
+                held = np.flatnonzero((shared.value[bits >> 3] >> (7 - (bits & 7)).astype(np.uint8)) & 1)
+                out += [(row, k, " ".join(own[k : k + n])) for k in held.tolist()]
+            yield pd.DataFrame(out, columns=["row", "first", "gram"])
+
+    found = docs.select("row", "text").filter("text is not null").mapInPandas(ours, "row long, first int, gram string")
+    salted = grams.select("item_id", "gram", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    return found.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).join(salted, ["gram", "salt"]).select("row", "first", "item_id")
+
+
+def leaks_joined(docs: DataFrame, items: DataFrame, n: int = N_WORDS) -> DataFrame:
+    """leaks() for a test set of any size."""
+    return window_hits(docs.select(F.col("doc_id").cast("long").alias("row"), "text"), items, n).select(F.col("row").alias("doc_id"), "item_id").distinct()
+
 
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text is not null")
-    i = items.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null")
-    theirs = i.mapInPandas(grams("item_id"), "item_id long, h long")
-    # An n-gram of many items or documents meets once for each pair of texts, whatever its number of places.
-    pairs = d.mapInPandas(grams("doc_id"), "doc_id long, h long").join(theirs, "h").select("doc_id", "item_id").distinct()
-    held = pairs.join(d, "doc_id").join(i.withColumnRenamed("text", "item_text"), "item_id")
-    return held.mapInPandas(verify, "doc_id long, item_id long").distinct()
+def _cut(text: str, firsts: set[int], n: int, most: float) -> tuple[str, int, bool]:
+    """The text without the leaked spans, their number, and whether it is kept."""
+    covered = len({w for f in firsts for w in range(f, f + n)})
+    spans = _spans(text, firsts, n)
+    kept = covered <= most * len(words(text))
+    for begin, end in reversed(spans):
+        text = text[:begin] + text[end:]
+    return text, len(spans), kept
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, n: int = N_WORDS, most: float = 0.5, limit: int = BROADCAST_CHARS) -> DataFrame:
-    """(doc_id, text, n_spans): texts with the leaked spans cut out, in one narrow pass.
+    """(doc_id, text, n_spans): texts with the leaked spans cut out; one narrow pass, or beyond the bound by window_hits().
 
     A document of whose words more than the share `most` leaked is left out. Null texts stay null.
     """
+    kind = docs.schema["doc_id"].dataType
+    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("text", T.StringType()), T.StructField("n_spans", T.IntegerType())])
     held = _collect(items, "item_id", "text", limit)
     if held is None:
-        raise ValueError("the test set is beyond the broadcast bound; remove documents by leaks_joined()")
-    shared = docs.sparkSession.sparkContext.broadcast(TestSet(held, n))
+        rows = written(docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id()), "leak-rows")
+        firsts = window_hits(rows, items, n).groupBy("row").agg(F.collect_set("first").alias("firsts"))
+        source = rows.join(firsts, "row", "left").select("doc_id", "text", "firsts")
+    else:
+        source = docs.select("doc_id", "text")
+    shared = docs.sparkSession.sparkContext.broadcast(TestSet(held, n) if held is not None else None)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             texts = [t if isinstance(t, str) else None for t in frame["text"]]
             firsts: dict[int, set[int]] = {}
-            for doc, first, _ in shared.value.scan(texts):
-                firsts.setdefault(doc, set()).add(first)
+            if shared.value is None:
+                firsts = {doc: set(own.tolist()) for doc, own in enumerate(frame["firsts"]) if own is not None}
+            else:
+                for doc, first, _ in shared.value.scan(texts):
+                    firsts.setdefault(doc, set()).add(first)
             counts, kept = [0] * len(texts), [True] * len(texts)
             for doc, own in firsts.items():
-                text = texts[doc]
-                covered = len({w for f in own for w in range(f, f + n)})
-                spans = _spans(text, own, n)
-                counts[doc], kept[doc] = len(spans), covered <= most * len(words(text))
-                for begin, end in reversed(spans):
-                    text = text[:begin] + text[end:]
-                texts[doc] = text
+                texts[doc], counts[doc], kept[doc] = _cut(texts[doc], own, n, most)
             yield pd.DataFrame({"doc_id": frame["doc_id"], "text": texts, "n_spans": counts})[kept]
 
-    kind = docs.schema["doc_id"].dataType
-    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("text", T.StringType()), T.StructField("n_spans", T.IntegerType())])
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
+    return source.mapInPandas(run, schema)

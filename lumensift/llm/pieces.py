@@ -24,16 +24,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumensift.llm.sentences import with_places
+
 #: Limits of a piece, words shared by neighbours, and code points these may take where words are very long.
-MAX_WORDS, MAX_CHARS, OVERLAP, OVERLAP_CHARS = 800, 6000, 75, 1500
+MAX_WORDS, MAX_CHARS, OVERLAP, OVERLAP_CHARS = 800, 6000, 75, 3500
 #: New words (or their share of the code points) a piece has at least.
 LEAST_WORDS, LEAST_CHARS = 200, 1500
 #: Words in a landmark's window; one place in SPACING is a landmark.
 WINDOW, SPACING = 8, 64
 _WORD = re.compile(r"[^ \t\r\n]+")
 _PARAGRAPH = re.compile(r"[ \t\r]*\n[ \t\r]*\n\s*")
-_SENTENCE = re.compile(r"""[.!?…؟।。！？]+["'”’»)\]」』】]*(?=\s)|[。！？]["'”’」』】]*""")
-SCHEMA = "chunk_id string, piece int, text string, start_char int, end_char int, n_words int, n_chars int, sentence_ids array<string>, paragraph_ids array<string>"
+SCHEMA = "chunk_id string, piece int, text string, start_char int, end_char int, n_words int, n_chars int, sentence_ids array<string>, paragraph_ids array<string>, ids_exact boolean"
 
 
 def oversized(text: Column) -> Column:
@@ -57,12 +58,12 @@ def landmarks(words: list[str]) -> np.ndarray:
 class Cutter:
     """The cuts of one text."""
 
-    def __init__(self, text: str):
+    def __init__(self, text: str, sentence_ends: list[int]):
         self.text = text
         spans = [m.span() for m in _WORD.finditer(text)]
         self.starts, self.ends = [s for s, _ in spans], [e for _, e in spans]
         self.paragraphs = sorted({m.start() for m in _PARAGRAPH.finditer(text)} | {len(text)})
-        self.sentences = sorted({m.end() for m in _SENTENCE.finditer(text)})
+        self.sentences = sorted(set(sentence_ends))
         self.marks = [self.ends[i - 1] for i in landmarks([text[s:e] for s, e in spans]).tolist()]
 
     def n_words(self, begin: int, end: int) -> int:
@@ -129,37 +130,36 @@ def _placed(n: int, spans: list[tuple[int, int]], whole: tuple[int, int]) -> lis
     return [(begin + (end - begin) * i // n, begin + (end - begin) * (i + 1) // n) for i in range(n)]
 
 
-def _spans(pattern: re.Pattern, text: str, begin: int, end: int, cover: bool) -> list[tuple[int, int]]:
-    spans, at = [], begin
-    for m in pattern.finditer(text, begin, end):
-        stop = m.end() if cover else m.start()
-        if text[at:stop].strip():
-            spans.append((at, stop))
-        at = m.end()
-    if text[at:end].strip():
-        spans.append((at, end))
-    return spans
+def _units(text: str, cuts: list[int], begin: int, end: int) -> list[tuple[int, int]]:
+    """The stretches of text[begin:end] between the cuts, blank ones left out."""
+    places = [begin, *(c for c in cuts if begin < c < end), end]
+    return [(b, e) for b, e in zip(places, places[1:]) if text[b:e].strip()]
 
 
-def id_spans(text: str, paragraph_ids: list[str], sentence_ids: list[str]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Where each paragraph and sentence id lies in the text.
+def id_spans(text: str, paragraph_ids: list[str], sentence_ids: list[str], sentence_ends: list[int]) -> tuple[list[tuple[int, int]], list[tuple[int, int]], bool]:
+    """Where each paragraph and sentence id lies in the text, and whether the text shows as many units as there are ids.
 
-    Ids of sentences begin with their paragraph's. Where the text shows another number of units than
-    there are ids, they share its length evenly.
+    Ids of sentences begin with their paragraph's. Where the numbers differ, ids share the length evenly.
     """
-    whole = (0, len(text))
-    paragraphs = _placed(len(paragraph_ids), _spans(_PARAGRAPH, text, 0, len(text), False), whole) if paragraph_ids else []
-    sentences: list[tuple[int, int]] = []
+    whole, exact = (0, len(text)), True
+    cuts = [m.end() for m in _PARAGRAPH.finditer(text)]
+    units = _units(text, cuts, *whole)
+    exact &= len(units) == len(paragraph_ids) or not paragraph_ids
+    paragraphs = _placed(len(paragraph_ids), units, whole) if paragraph_ids else []
+    ends = sorted({*sentence_ends, *cuts})
     of: dict[str, list[str]] = {}
     for s in sentence_ids:
         of.setdefault(s.rpartition(":")[0], []).append(s)
     if paragraph_ids and list(of) == [p for p in paragraph_ids if p in of] and sum(map(len, of.values())) == len(sentence_ids):
-        for p, span in zip(paragraph_ids, paragraphs):
-            if p in of:
-                sentences += _placed(len(of[p]), _spans(_SENTENCE, text, *span, True), span)
-    elif sentence_ids:
-        sentences = _placed(len(sentence_ids), _spans(_SENTENCE, text, 0, len(text), True), whole)
-    return paragraphs, sentences
+        parts = [(len(of[p]), span) for p, span in zip(paragraph_ids, paragraphs) if p in of]
+    else:
+        parts = [(len(sentence_ids), whole)] if sentence_ids else []
+    sentences: list[tuple[int, int]] = []
+    for n, span in parts:
+        units = _units(text, ends, *span)
+        exact &= len(units) == n
+        sentences += _placed(n, units, span)
+    return paragraphs, sentences, exact
 
 
 def pieces(chunks: DataFrame) -> DataFrame:
@@ -168,16 +168,19 @@ def pieces(chunks: DataFrame) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
-            for key, text, sents, paras in zip(frame["chunk_id"], frame["text"], frame["sentence_ids"], frame["paragraph_ids"]):
+            for key, text, sents, paras, ends in zip(frame["chunk_id"], frame["text"], frame["sentence_ids"], frame["paragraph_ids"], frame["ends"]):
                 sents = [s for s in sents if s] if sents is not None else []
                 paras = [p for p in paras if p] if paras is not None else []
-                cutter = Cutter(text)
-                p_spans, s_spans = id_spans(text, paras, sents)
+                ends = ends.tolist() if ends is not None else []
+                cutter = Cutter(text, ends)
+                p_spans, s_spans, exact = id_spans(text, paras, sents, ends)
                 for n, (begin, end) in enumerate(cutter.pieces()):
                     mine = lambda ids, spans: [i for i, (b, e) in zip(ids, spans) if b < end and e > begin]
-                    rows.append((key, n, text[begin:end], begin, end, cutter.n_words(begin, end), end - begin, mine(sents, s_spans), mine(paras, p_spans)))
+                    rows.append((key, n, text[begin:end], begin, end, cutter.n_words(begin, end), end - begin, mine(sents, s_spans), mine(paras, p_spans), exact))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
 
     source = chunks.select("chunk_id", "text", "sentence_ids", "paragraph_ids").filter(F.col("chunk_id").isNotNull() & oversized(F.col("text")))
-    # Only oversized rows move: re-delivered ones are made one here.
-    return source.dropDuplicates(["chunk_id"]).mapInPandas(run, SCHEMA)
+    # Only oversized rows move: re-delivered ones are made one here, before their sentences are sought.
+    once = with_places(source.dropDuplicates(["chunk_id"]), "text", "_u")
+    ends = F.transform(F.filter("_u", lambda u: u["end"] > u["begin"]), lambda u: u["end"])
+    return once.select("chunk_id", "text", "sentence_ids", "paragraph_ids", ends.alias("ends")).mapInPandas(run, SCHEMA)

@@ -81,13 +81,12 @@ def masked(df: DataFrame, name: str) -> DataFrame:
     return df
 
 
-def sentences(df: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
-    """(keys, sentence, text, sent_end): the sentences of each text, numbered from 1.
+def with_places(df: DataFrame, text_col: str, name: str) -> DataFrame:
+    """`df` with an array column `name` of (i, begin, end): the text's sentences, numbered from 1, with the code points before and up to the end of each.
 
-    One narrow pass over the texts as they lie, so a key delivered twice is split twice; of the results one is kept.
+    White space at the text's end is in no sentence; a unit that lies in it ends before it begins. A null text has null.
     """
-    rows = df.select(*keys, F.col(text_col).alias("_t")).filter(F.col("_t").rlike(rf"[^{_SPACE}]"))
-    rows = masked(rows.withColumn("_m", F.col("_t")), "_m")
+    rows = masked(df.withColumn("_m", F.col(text_col)), "_m")
     sizes = F.transform(F.regexp_extract_all("_m", F.lit(UNIT), F.lit(0)), lambda p: F.length(p))
     total = lambda part: F.aggregate(part, F.lit(0), lambda t, n: t + n)
     # Running sums by whole blocks and a rest, so that very long texts stay far from the square of their sentences.
@@ -95,9 +94,18 @@ def sentences(df: DataFrame, keys: list[str], text_col: str = "text") -> DataFra
     full = lambda i: F.floor(i / BLOCK).cast("int")
     upto = lambda i: total(F.slice("_b", F.lit(1), full(i))) + total(F.slice("_n", full(i) * BLOCK + 1, i % BLOCK))
     places = F.transform(F.sequence(F.lit(1), F.size("_n")), lambda i: F.struct(i.alias("i"), upto(i - 1).alias("begin"), F.least(upto(i), F.col("_w")).alias("end")))
-    rows = rows.withColumn("_w", F.length(F.regexp_replace("_t", rf"[{_SPACE}]+\z", ""))).withColumn("_n", sizes).withColumn("_b", blocks).withColumn("_u", places)
+    rows = rows.withColumn("_w", F.length(F.regexp_replace(text_col, rf"[{_SPACE}]+\z", ""))).withColumn("_n", sizes).withColumn("_b", blocks)
+    return rows.withColumn(name, places).drop("_m", "_w", "_n", "_b")
+
+
+def sentences(df: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
+    """(keys, sentence, text, sent_end): the sentences of each text, numbered from 1.
+
+    One narrow pass over the texts as they lie, so a key delivered twice is split twice; of the results one is kept.
+    """
+    rows = df.select(*keys, F.col(text_col).alias("_t")).filter(F.col("_t").rlike(rf"[^{_SPACE}]"))
     # Outer, and filtered by nothing but what it yields: else the planner asks the whole chain of masks, many times over, in a filter beneath it.
-    rows = rows.select(*keys, "_t", F.explode_outer("_u").alias("_u")).filter("_u.end > _u.begin")
+    rows = with_places(rows, "_t", "_u").select(*keys, "_t", F.explode_outer("_u").alias("_u")).filter("_u.end > _u.begin")
     rows = rows.select(*keys, "_t", F.col("_u.i").alias("_i"), F.col("_u.begin").alias("_begin"), F.col("_u.end").alias("sent_end"))
     text = F.regexp_replace(F.substring("_t", F.col("_begin") + 1, F.col("sent_end") - F.col("_begin")), rf"\A[{_SPACE}]+|[{_SPACE}]+\z", "")
     return rows.select(*keys, F.col("_i").alias("sentence"), text.alias("text"), "sent_end").dropDuplicates([*keys, "sentence"])

@@ -39,3 +39,45 @@ def test_rows(spark):
     got = G.restored(df).collect()
     assert {r.doc_id for r in got} == {9000} and len(got) == 2 and got[0].text == TEXT[0]
     assert G.restored(df.limit(0)).count() == 0
+
+
+def test_segments_against_recursion():
+    """The maximum-scoring segments are the best stretch, then the best of what lies on either side of it."""
+    rng = np.random.default_rng(2)
+
+    def best(s, low, high):
+        top = max(((s[i:j].sum(), i - j, -i, i, j) for i in range(low, high) for j in range(i + 1, high + 1)), default=(0,))
+        if top[0] <= 0:
+            return []
+        *_, i, j = top
+        return [*best(s, low, i), (i, j - 1), *best(s, j, high)]
+
+    for _ in range(60):
+        s = np.round(rng.normal(-0.3, 1, 24), 6)
+        ends, at = np.concatenate([[0.0], np.cumsum(s)]), np.flatnonzero(s > 0)
+        assert sorted(G.segments(ends, at, np.zeros(len(at), int))) == best(s, 0, len(s))
+    # None goes over a text's end.
+    s = np.array([2.0, -0.1, 2.0])
+    assert G.segments(np.concatenate([[0.0], np.cumsum(s)]), np.array([0, 2]), np.array([0, 1])) == [(0, 0), (2, 2)]
+
+
+def test_lost_only_within_runs(repair):
+    """U+FFFD counts where the pairs around it are improbable, not by its mere presence."""
+    s = G.symbols("\n\n".join(TEXT + ["a � b and a � b again. "] * 3000)).astype(np.int64)
+    counts = np.bincount(s[:-1] * G.SYMBOLS + s[1:], minlength=G.SYMBOLS**2)
+    seen = np.flatnonzero(counts)
+    usual = G.Repairer(G.Model(seen, counts[seen].astype(float)))
+    assert usual(["a � b and a � b"])[0][2] == 0 and repair(["a � b and a � b"])[0][2] == 2
+
+
+@pytest.mark.parametrize("page, text", [("gb18030", "研究结果表明样本很小"), ("cp932", "研究の結果は明確で"), ("big5", "研究結果")])
+def test_wide_pages(page, text):
+    """UTF-8 read as an East Asian page comes back, where that page has characters for all its bytes."""
+    for n in range(len(text), 1, -1):
+        try:
+            bad = text[:n].encode().decode(page)
+        except UnicodeDecodeError:
+            continue
+        assert G._undo_wide(f"ab {bad} c", page) == (f"ab {text[:n]} c", n)
+        return
+    assert page == "big5"  # few texts pass through it whole

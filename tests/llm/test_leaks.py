@@ -1,3 +1,6 @@
+import numpy as np
+import pytest
+
 from lumensift.llm import leaks as L
 
 ITEM = "one two three four five six seven eight nine ten eleven twelve thirteen"
@@ -23,9 +26,21 @@ def test_leaks_both_ways(spark):
     assert L.leaks(docs, items.limit(0)).count() == 0 and L.leaks(docs.limit(0), items).count() == 0
 
 
-def test_removal(spark):
+@pytest.mark.parametrize("limit", [L.BROADCAST_CHARS, 0])
+def test_removal(spark, limit):
     docs, items = frames(spark)
-    rows = {r.doc_id: (r.text, r.n_spans) for r in L.without_leaks(docs, items).collect()}
+    rows = {r.doc_id: (r.text, r.n_spans) for r in L.without_leaks(docs, items, limit=limit).collect()}
     assert 5 not in rows and 1 not in rows  # over half of their words leaked
     assert rows[2][1] == 0 and rows[3] == (None, 0) and rows[4] == ("", 0)
     assert rows[6][0].startswith("İ ") and "seven" not in rows[6][0] and rows[6][1] == 1
+    assert L.without_leaks(docs.limit(0), items, limit=limit).count() == 0
+    assert {r.doc_id for r in L.without_leaks(docs, items.limit(0), limit=limit).collect()} == {d for d, *_ in DOCS}
+
+
+def test_filter(spark):
+    """The filter holds every window of the test set, and few others."""
+    rng = np.random.default_rng(4)
+    hashes = rng.integers(0, 1 << 63, 5000, dtype=np.uint64) << np.uint64(1)
+    bits = L._bits(hashes)
+    held = L._filter(spark.createDataFrame([(int(b),) for b in bits], "bit long"))
+    assert int(np.unpackbits(held).sum()) == len(set(bits.tolist())) and ((held[bits >> 3] >> (7 - (bits & 7)).astype(np.uint8)) & 1).all()

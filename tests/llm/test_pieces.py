@@ -16,8 +16,12 @@ def count(t):
     return len(re.findall(r"[^ \t\r\n]+", t))
 
 
+def ends(text):
+    return [m.end() for m in re.finditer(r"[.。]", text)]
+
+
 def check(text):
-    cutter = P.Cutter(text)
+    cutter = P.Cutter(text, ends(text))
     out = cutter.pieces()
     assert out[0][0] == 0 and out[-1][1] == len(text)
     for i, (b, e) in enumerate(out):
@@ -45,9 +49,9 @@ def test_odd_texts():
 def test_edits_stay_local():
     rng = random.Random(6)
     text = document(rng, 300)
-    pieces = {text[b:e] for b, e in P.Cutter(text).pieces()}
+    pieces = {text[b:e] for b, e in P.Cutter(text, ends(text)).pieces()}
     edited = text[:400] + " some new words here" + text[400:]
-    again = {edited[b:e] for b, e in P.Cutter(edited).pieces()}
+    again = {edited[b:e] for b, e in P.Cutter(edited, ends(edited)).pieces()}
     assert len(pieces - again) <= 3
 
 
@@ -62,3 +66,27 @@ def test_rows(spark):
     big = sorted((r for r in got if r.chunk_id == "big"), key=lambda r: r.piece)
     assert sorted({p for r in big for p in r.paragraph_ids}) == sorted(paras) and big[0].paragraph_ids[0] == "p0"
     assert P.pieces(df.limit(0)).count() == 0
+
+
+def test_overlap_of_long_words():
+    """Words of 40 points: 75 of them are 3,075 points, which neighbours share whole."""
+    rng = random.Random(9)
+    text = " ".join("".join(rng.choice("abcdef") for _ in range(40)) for _ in range(700))
+    _, out = check(text)
+    assert all(count(text[b:e]) == P.OVERLAP for (_, e), (b, _) in zip(out, out[1:]))
+
+
+def test_ids_of_units(spark):
+    """Ids follow the sentence operator's units (an abbreviation ends none); another number of units than ids is said."""
+    part = "As Dr. Roe noted, the sample was small. It grew later.\n\n"
+    text = (part * 200).strip()
+    ids = [f"p{i}:s{j}" for i in range(200) for j in (1, 2)]
+    paras = [f"p{i}" for i in range(200)]
+    rows = [("fits", text, ids, paras), ("fewer", text, ids[:-1], paras)]
+    got = {}
+    for r in P.pieces(spark.createDataFrame(rows, "chunk_id string, text string, sentence_ids array<string>, paragraph_ids array<string>")).collect():
+        got.setdefault(r.chunk_id, []).append(r)
+    assert all(r.ids_exact for r in got["fits"]) and not any(r.ids_exact for r in got["fewer"])
+    for r in got["fits"]:
+        n = len([x for x in re.split(r"(?<=small\.)|(?<=later\.)", r.text) if x.strip()])
+        assert len(r.sentence_ids) == n and r.sentence_ids == [s for s in ids if s in r.sentence_ids]

@@ -1,9 +1,10 @@
 """The chunk store: Parquet in buckets of attachments, in versions behind a pointer.
 
 A replacement rewrites only the buckets that hold the attachments concerned. A version is a
-folder that lists, for every bucket, where its rows lie; the pointer is switched after all
-of a version's files are written, so a reader sees either version whole and a crash leaves
-the old one in place.
+numbered file that lists, for every bucket, where its rows lie. It is made new, never replaced,
+after all of the version's files are written, and the highest number that is whole counts; so a
+reader sees either version whole, and a crash at any point leaves the old one in place. Two writers
+at once cannot both make the same number: the later one gets a ConcurrentWrite and nothing is lost.
 """
 
 from __future__ import annotations
@@ -14,53 +15,79 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumensift.io import settle
 from lumensift.schemas import STORED, struct
 
 
+class ConcurrentWrite(RuntimeError):
+    """Another writer published a version since this one read the store; read again and repeat."""
+
+
 class ChunkStore:
+    """`buckets` is the number of a store made anew; one that is there keeps its own."""
+
     def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
-        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
+        self.spark, self.path, self.fresh = spark, path.rstrip("/"), buckets
 
-    # pointer: {"buckets": n, "places": {bucket: folder}}
+    @property
+    def buckets(self) -> int:
+        return self._state()["buckets"]
+
+    # pointer: {"version": n, "buckets": n, "places": {bucket: folder}}
     def _fs(self):
         jvm = self.spark._jvm
         p = jvm.org.apache.hadoop.fs.Path(self.path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), jvm
 
-    def _state(self) -> dict:
+    def _pointers(self) -> list[tuple[int, str]]:
+        """(number, path) of all pointer files, highest first."""
         fs, jvm = self._fs()
-        p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/CURRENT")
-        if not fs.exists(p):
-            return {"buckets": self.buckets, "places": {}}
-        return json.loads("".join(r.value for r in self.spark.read.text(f"{self.path}/CURRENT").collect()))
+        found = fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{self.path}/CURRENT-*"))
+        return sorted(((int(f.getPath().getName().split("-")[1]), f.getPath().toString()) for f in found or []), reverse=True)
 
-    def _switch(self, places: dict[str, str]) -> None:
+    def _state(self) -> dict:
         fs, jvm = self._fs()
-        fresh = jvm.org.apache.hadoop.fs.Path(f"{self.path}/CURRENT.{uuid.uuid4().hex}")
-        out = fs.create(fresh, True)
-        out.write(bytearray(json.dumps({"buckets": self.buckets, "places": places}).encode()))
+        for _, path in self._pointers():
+            stream = fs.open(jvm.org.apache.hadoop.fs.Path(path))
+            try:
+                return json.loads(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+            except ValueError:  # its writer died, or is still at it
+                continue
+            finally:
+                stream.close()
+        return {"version": 0, "buckets": self.fresh, "places": {}}
+
+    def _switch(self, state: dict, places: dict[str, str]) -> None:
+        """Publish `places` as the version after `state`."""
+        if self._state()["version"] != state["version"]:
+            raise ConcurrentWrite(self.path)
+        fs, jvm = self._fs()
+        number = max([state["version"], *(n for n, _ in self._pointers()[:1])]) + 1
+        try:
+            out = fs.create(jvm.org.apache.hadoop.fs.Path(f"{self.path}/CURRENT-{number:012d}"), False)
+        except Exception as e:  # noqa: BLE001 - the file system's own error for a file that is there
+            raise ConcurrentWrite(self.path) from e
+        out.write(bytearray(json.dumps({"version": number, "buckets": state["buckets"], "places": places}).encode()))
         out.close()
-        final = jvm.org.apache.hadoop.fs.Path(f"{self.path}/CURRENT")
-        if fs.exists(final):
-            fs.delete(final, False)
-        fs.rename(fresh, final)
 
-    def _bucket(self):
-        return F.pmod(F.xxhash64("attachment_key"), F.lit(self.buckets)).cast("int")
+    @staticmethod
+    def _bucket(buckets: int):
+        return F.pmod(F.xxhash64("attachment_key"), F.lit(buckets)).cast("int")
 
-    def read(self, buckets: list[int] | None = None) -> DataFrame:
-        places = self._state()["places"]
-        paths = sorted({p for b, p in places.items() if buckets is None or int(b) in buckets})
+    def _rows(self, state: dict, buckets: list[int] | None = None) -> DataFrame:
+        paths = sorted({p for b, p in state["places"].items() if buckets is None or int(b) in buckets})
         if not paths:
             return self.spark.createDataFrame([], struct(STORED))
-        df = self.spark.read.schema(struct(STORED)).parquet(*paths)
-        return df
+        return self.spark.read.schema(struct(STORED)).parquet(*paths)
+
+    def read(self, buckets: list[int] | None = None) -> DataFrame:
+        return self._rows(self._state(), buckets)
 
-    def _write(self, rows: DataFrame, touched: list[int]) -> None:
-        places = self._state()["places"]
+    def _write(self, state: dict, rows: DataFrame, touched: list[int]) -> None:
+        places = dict(state["places"])
         version = f"{self.path}/data/{uuid.uuid4().hex}"
         # One shuffle brings a bucket together; only touched buckets are written.
-        rows.withColumn("bucket", self._bucket()).repartition("bucket").write.partitionBy("bucket").parquet(version)
+        rows.withColumn("bucket", self._bucket(state["buckets"])).repartition("bucket").write.partitionBy("bucket").parquet(version)
         fs, jvm = self._fs()
         for b in touched:
             folder = f"{version}/bucket={b}"
@@ -68,40 +95,51 @@ class ChunkStore:
                 places[str(b)] = folder
             else:
                 places.pop(str(b), None)
-        self._switch(places)
+        self._switch(state, places)
 
-    def _touched(self, keys: DataFrame) -> list[int]:
-        return [r.b for r in keys.select(self._bucket().alias("b")).distinct().collect()]
+    def _touched(self, state: dict, keys: DataFrame) -> list[int]:
+        return [r.b for r in keys.select(self._bucket(state["buckets"]).alias("b")).distinct().collect()]
 
     def replace_attachments(self, new: DataFrame, of: DataFrame | None = None) -> None:
-        """The rows of `new` in place of all rows of its attachments (or of those in `of`). Nothing to store leaves old rows alone."""
-        keys = (of if of is not None else new).select("attachment_key").distinct()
-        touched = self._touched(keys)
+        """The rows of `new` in place of all rows of its attachments (or of those in `of`). Nothing to store leaves old rows alone.
+
+        `new` is worked out once (it may come from a model), though it is read twice.
+        """
+        state, rows = self._state(), settle(_stored(new))
+        keys = settle((of if of is not None else rows).select("attachment_key").distinct())
+        touched = self._touched(state, keys)
         if touched:
-            kept = self.read(touched).join(keys, "attachment_key", "left_anti")
-            self._write(kept.unionByName(_stored(new)), touched)
+            kept = self._rows(state, touched).join(keys, "attachment_key", "left_anti")
+            self._write(state, kept.unionByName(rows), touched)
 
-    def add(self, rows: DataFrame) -> None:
-        touched = self._touched(rows)
+    def add(self, new: DataFrame) -> None:
+        state, rows = self._state(), settle(_stored(new))
+        touched = self._touched(state, rows)
         if touched:
-            self._write(self.read(touched).unionByName(_stored(rows)), touched)
+            self._write(state, self._rows(state, touched).unionByName(rows), touched)
 
     def delete_ids(self, ids: list[str]) -> None:
-        """No ids, nothing done."""
+        """No ids, nothing done. An id names its attachment, so only that bucket is read; ids of another form are looked for everywhere."""
         if not ids:
             return
-        gone = self.read().filter(F.col("chunk_id").isin(ids)).select("attachment_key").distinct()
-        touched = self._touched(gone)
+        state = self._state()
+        named = [i.rsplit(":", 2)[0] for i in ids if i.count(":") >= 2]
+        if len(named) == len(ids):
+            gone = self.spark.createDataFrame([(k,) for k in sorted(set(named))], "attachment_key string")
+        else:
+            gone = self._rows(state).filter(F.col("chunk_id").isin(ids)).select("attachment_key").distinct()
+        touched = self._touched(state, gone)
         if touched:
-            self._write(self.read(touched).filter(~F.col("chunk_id").isin(ids)), touched)
+            self._write(state, self._rows(state, touched).filter(~F.col("chunk_id").isin(ids)), touched)
 
     def delete_attachments(self, keys: DataFrame) -> None:
-        touched = self._touched(keys)
+        state = self._state()
+        touched = self._touched(state, keys)
         if touched:
-            self._write(self.read(touched).join(keys.select("attachment_key"), "attachment_key", "left_anti"), touched)
+            self._write(state, self._rows(state, touched).join(keys.select("attachment_key"), "attachment_key", "left_anti"), touched)
 
     def reset(self) -> None:
-        self._switch({})
+        self._switch(self._state(), {})
 
     def count(self) -> int:
         return self.read().count()
@@ -111,8 +149,9 @@ class ChunkStore:
 
     def by_attachment(self, key: str) -> DataFrame:
         """An attachment's chunks, from its one bucket."""
-        b = self.spark.range(1).select(F.pmod(F.xxhash64(F.lit(key)), F.lit(self.buckets)).cast("int")).first()[0]
-        return self.read([b]).filter(F.col("attachment_key") == key)
+        state = self._state()
+        b = self.spark.range(1).select(F.pmod(F.xxhash64(F.lit(key)), F.lit(state["buckets"])).cast("int")).first()[0]
+        return self._rows(state, [b]).filter(F.col("attachment_key") == key)
 
     def ids_of(self, key: str) -> DataFrame:
         return self.by_attachment(key).select("chunk_id")

@@ -7,7 +7,7 @@ from lumensift.plans import audit, provider, sync, tasks
 from lumensift.plans.similar import UnknownKey, similar_papers
 from lumensift.schemas import MANIFEST, STORED
 from lumensift.sources import embed, library, manifest, pages
-from lumensift.sources.store import ChunkStore, stale_ids
+from lumensift.sources.store import ConcurrentWrite, ChunkStore, stale_ids
 from lumensift.streaming.ingest import ingest_pages
 
 import pytest
@@ -47,6 +47,19 @@ def test_export_forms(spark, tmp_path):
     assert library.collection_names(spark, str(tmp_path / "missing.txt")).count() == 0
 
 
+def test_selected_by_arrival(spark):
+    rows = [("i1", "a", ["x"], 9, 1), ("i2", "b", ["x", "x"], 1, 2), ("i3", "a", ["y", "x"], 2, 3), ("i4", "c", ["z"], 3, 4), ("i5", "d", None, 3, 5)]
+    items = spark.createDataFrame(rows, "item_key string, attachment_key string, collections array<string>, zotero_version int, seen int")
+    assert [r.item_key for r in library.selected(items, ["x"], arrival="seen").collect()] == ["i3", "i2"]
+    assert [r.item_key for r in library.selected(items, ["x"]).collect()] == ["i1", "i2"] and library.selected(items, ["x"], 1).count() == 1
+    assert library.item(items, "i4").first().attachment_key == "c" and library.item(items, "none").count() == 0
+
+
+def test_page_stats(spark):
+    rows = spark.createDataFrame([("a", 1, "four"), ("a", 2, None), ("b", None, None)], "attachment_key string, page_number int, text string")
+    assert {r.attachment_key: (r.characters, r.pages) for r in pages.stats(rows).collect()} == {"a": (4, 2), "b": (0, 0)}
+
+
 def test_extract(spark, tmp_path):
     for key, body in (("a", b"one\x0ctwo"), ("b", b"broken"), ("c", b" ")):
         (tmp_path / key).mkdir()
@@ -84,6 +97,50 @@ def test_store(spark, tmp_path):
     assert s.count() == 0
 
 
+def test_store_keeps_its_buckets(spark, tmp_path):
+    """Opened with another number of buckets, a store goes by its own."""
+    made = ChunkStore(spark, f"file://{tmp_path}/store", buckets=4)
+    made.add(stored(spark, [(f"k{i}", "k", 0, f"t{i}", [1.0]) for i in range(20)]))
+    other = ChunkStore(spark, f"file://{tmp_path}/store")
+    assert all(other.by_attachment(f"k{i}").count() == 1 for i in range(20)) and other.buckets == 4
+    other.replace_attachments(stored(spark, [("k0", "k", 7, "new", [1.0])]))
+    assert made.count() == 20 and made.by_attachment("k0").first().text == "new"
+
+
+def test_store_survives_a_crash(spark, tmp_path):
+    """A writer that dies at the pointer leaves the old version; half a pointer is passed over, by readers and the next writer."""
+    s = ChunkStore(spark, f"file://{tmp_path}/store", buckets=2)
+    s.add(stored(spark, [("a", "k", 0, "t", [1.0])]))
+    pointer = max((tmp_path / "store").glob("CURRENT-*"))
+    broken = pointer.with_name("CURRENT-000000000002")
+    broken.write_text(pointer.read_text()[:-9])
+    assert s.count() == 1
+    s.add(stored(spark, [("b", "k", 0, "u", [1.0])]))
+    assert s.count() == 2 and max((tmp_path / "store").glob("CURRENT-*")).name == "CURRENT-000000000003"
+
+
+def test_store_two_writers(spark, tmp_path):
+    s = ChunkStore(spark, f"file://{tmp_path}/store", buckets=2)
+    before = s._state()
+    s.add(stored(spark, [("a", "k", 0, "t", [1.0])]))
+    with pytest.raises(ConcurrentWrite):
+        s._write(before, stored(spark, [("b", "k", 0, "u", [1.0])]), [0, 1])
+    assert s.count() == 1
+
+
+def test_store_works_out_its_input_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def once(frames):
+        for frame in frames:
+            seen.add(len(frame))
+            yield frame
+
+    rows = stored(spark, [("a", "k", 0, "t", [1.0]), ("b", "k", 0, "u", [1.0])])
+    ChunkStore(spark, f"file://{tmp_path}/store").replace_attachments(rows.mapInPandas(once, rows.schema))
+    assert seen.value == 2
+
+
 def state(spark, rows):
     return manifest.migrated(spark.createDataFrame(rows, "attachment_key string, citation_key string, pdf_path string, pdf_mtime double, pdf_size long, number_of_pages int, number_of_chunks int, indexed_at string, index_status string, pipeline_version string"))
 
@@ -123,7 +180,11 @@ def test_sync_round(spark, tmp_path):
     )
     text = spark.createDataFrame([("a", 1, "words of page one", None), ("a", 2, "and two", None), ("c", None, None, "cannot be opened")], "attachment_key string, page_number int, text string, error string")
     make = lambda: embed.hashing_embedder(8)
-    first = sync.sync(items, text, manifest.empty(spark), s, make)
+    hashes = spark.createDataFrame([("a", "f00d")], "attachment_key string, pdf_hash string")
+    first = sync.sync(items, text, manifest.empty(spark), s, make, hashes=hashes)
+    assert first.manifest.filter("attachment_key = 'a'").first().pdf_hash == "f00d"
+    count = first.counters.first().asDict()
+    assert count == {"discovered": 4, "new": 3, "changed": 0, "unchanged": 0, "deleted": 0, "no_citation": 1, "abstracts": 1, "failed": 1, "chunks": 2}
     assert {r.attachment_key: r.index_status for r in first.manifest.collect()} == {"a": "indexed", "b": "indexed", "c": "failed"}
     assert s.count() == 2 and s.by_attachment("a").first().page_end == 2
     assert sync.counters(first.decided).first().new == 4
@@ -139,6 +200,10 @@ def test_stream(spark, tmp_path):
     for _ in range(2):
         ingest_pages(spark, f"file://{tmp_path}/drop", s, f"file://{tmp_path}/cp", lambda: embed.hashing_embedder(8)).awaitTermination()
     assert s.count() == 1 and s.read().first().text == "one two three"
+    # More pages of the same attachment in a later file, one of them anew.
+    spark.createDataFrame([("a", "p", "k", 3, "four"), ("a", "p", "k", 2, "III")], page.schema).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/drop")
+    ingest_pages(spark, f"file://{tmp_path}/drop", s, f"file://{tmp_path}/cp", lambda: embed.hashing_embedder(8)).awaitTermination()
+    assert s.count() == 1 and s.read().first().text == "one two III four"
 
 
 # Papers and questions -----------------------------------------------------------

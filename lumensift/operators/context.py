@@ -52,10 +52,16 @@ def ordered_siblings(chunks: DataFrame) -> DataFrame:
 
 
 def neighbours(anchors: DataFrame, siblings: DataFrame, before: int, after: int) -> DataFrame:
-    """(anchor_id, anchor_idx, idx, chunk_id, text): chunks of the same attachment within the band of indices; a broadcast-free equi-join with a band."""
+    """(anchor_id, anchor_idx, idx, chunk_id, text, run): chunks of the same attachment within the band of indices.
+
+    An anchor asks for the places of its band, so attachment and place are the join's keys and nothing else of the attachment is met.
+    """
     a = anchors.select(F.col("chunk_id").alias("anchor_id"), "attachment_key", X.chunk_index(F.col("chunk_id")).alias("anchor_idx"))
-    near = F.col("idx").between(F.col("anchor_idx") - before, F.col("anchor_idx") + after)
-    return siblings.join(a, "attachment_key").filter(near)
+    return siblings.join(_band(a, before, after), ["attachment_key", "idx"])
+
+
+def _band(anchors: DataFrame, before: int, after: int) -> DataFrame:
+    return anchors.withColumn("idx", F.explode(F.sequence(F.col("anchor_idx") - before, F.col("anchor_idx") + after)))
 
 
 def expand(anchors: DataFrame, siblings: DataFrame, before: int = 1, after: int = 1, max_words: int = 2500, structures: bool = True, cfg: EngineConfig = DEFAULT) -> DataFrame:
@@ -67,14 +73,17 @@ def expand(anchors: DataFrame, siblings: DataFrame, before: int = 1, after: int
     `siblings` comes from ordered_siblings() of all chunks of the anchors' attachments.
     """
     a = anchors.select(F.col("chunk_id").alias("anchor_id"), "attachment_key", X.chunk_index(F.col("chunk_id")).alias("anchor_idx")).dropDuplicates(["anchor_id"])
-    met = siblings.join(a, "attachment_key")
-    band = F.col("idx").between(F.col("anchor_idx") - before, F.col("anchor_idx") + after)
-    ends = met.filter(band).groupBy("anchor_id").agg(F.min_by("run", "idx").alias("low_run"), F.max_by("run", "idx").alias("high_run"), F.min("idx").alias("low"), F.max("idx").alias("high"))
-    near = met.join(ends, "anchor_id")
-    onward = ((F.col("idx") < F.col("low")) & (F.col("run") == F.col("low_run"))) | ((F.col("idx") > F.col("high")) & (F.col("run") == F.col("high_run")))
-    near = near.filter(band | onward) if structures else near.filter(band)
+    names = ["anchor_id", "anchor_idx", "idx", "chunk_id", "text"]
+    band = siblings.join(_band(a, before, after), ["attachment_key", "idx"])
+    near = band.select(*names, F.lit(True).alias("in_band"))
+    if structures:
+        # Beyond the band only the runs at its ends are met.
+        ends = band.groupBy("attachment_key", "anchor_id", "anchor_idx").agg(F.min_by("run", "idx").alias("low_run"), F.max_by("run", "idx").alias("high_run"), F.min("idx").alias("low"), F.max("idx").alias("high"))
+        asked = ends.withColumn("run", F.explode(F.array_distinct(F.array("low_run", "high_run"))))
+        onward = ((F.col("idx") < F.col("low")) & (F.col("run") == F.col("low_run"))) | ((F.col("idx") > F.col("high")) & (F.col("run") == F.col("high_run")))
+        near = near.unionByName(siblings.join(asked, ["attachment_key", "run"]).filter(onward).select(*names, F.lit(False).alias("in_band")))
     near = near.withColumn("t", X.trim(F.col("text"))).withColumn("w", X.words(F.col("text")))
-    pieces = near.groupBy("anchor_id", "anchor_idx").agg(F.sort_array(F.collect_list(F.struct("idx", "chunk_id", "t", "w"))).alias("p"), F.count_if(~band).alias("n_continued"))
+    pieces = near.groupBy("anchor_id", "anchor_idx").agg(F.sort_array(F.collect_list(F.struct("idx", "chunk_id", "t", "w"))).alias("p"), F.count_if(~F.col("in_band")).alias("n_continued"))
     start = F.struct(F.lit("").alias("text"), F.array().cast("array<string>").alias("w"), F.array().cast("array<string>").alias("ids"), F.array().cast("array<int>").alias("at"))
 
     def step(acc: Column, p: Column) -> Column:

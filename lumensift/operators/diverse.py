@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumensift.config import DEFAULT, EngineConfig
+from lumensift.functions import vector
+from lumensift.io import settle, written
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -36,11 +38,11 @@ def pick_representatives(vectors: np.ndarray, limit: int, weight: float) -> list
     return chosen
 
 
-def representatives(chunks: DataFrame, limit: int | None = None, cfg: EngineConfig = DEFAULT, group: str = "citation_key") -> DataFrame:
+def representatives(chunks: DataFrame, limit: int | None = None, cfg: EngineConfig = DEFAULT, group: str = "citation_key", whole: int = 20_000) -> DataFrame:
     """(group, chunk_id, pick): up to `limit` representative chunks of each paper.
 
-    One paper's vectors are one task's work: `limit` rounds over a matrix of the paper's chunks. A paper is bounded
-    by a document's length; stores where one key holds much of the table select representatives by paper and attachment.
+    A paper of up to `whole` chunks is a matrix of one task. A larger one (a key may hold any part of the rows) is picked
+    from in rounds, each the best of its chunks by an aggregate that every task begins on its own rows.
     """
     limit = limit or cfg.similar_source_chunks
     kind = chunks.schema[group].dataType.simpleString()
@@ -51,7 +53,30 @@ def representatives(chunks: DataFrame, limit: int | None = None, cfg: EngineConf
         return pd.DataFrame({group: frame[group].iloc[picks].to_numpy(), "chunk_id": frame["chunk_id"].iloc[picks].to_numpy(), "pick": np.arange(len(picks), dtype=np.int32)})
 
     rows = chunks.filter(F.col("embedding").isNotNull()).select(group, "chunk_id", "chunk_index", "embedding")
-    return rows.groupBy(group).applyInPandas(run, f"{group} {kind}, chunk_id string, pick int")
+    schema = f"{group} {kind}, chunk_id string, pick int"
+    # Of n rows there are at most n / whole larger papers.
+    large = settle(rows.groupBy(group).agg(F.count("*").alias("_n")).filter(F.col("_n") > whole).select(group))
+    if large.isEmpty():
+        return rows.groupBy(group).applyInPandas(run, schema)
+    small = rows.join(large, group, "left_anti").groupBy(group).applyInPandas(run, schema)
+    return small.unionByName(_in_rounds(rows.join(large, group, "left_semi"), group, limit, cfg))
+
+
+def _in_rounds(rows: DataFrame, group: str, limit: int, cfg: EngineConfig) -> DataFrame:
+    """pick_representatives() of each group by one aggregate a round; only the picks so far are kept between rounds."""
+    dim = rows.select(F.max(F.size("embedding"))).first()[0]
+    centres = vector.centroid(rows, [group], "embedding", dim)
+    big = written(rows.join(centres, group).withColumn("_central", vector.cosine(F.col("embedding"), F.col("centroid"))).drop("centroid"), "representatives")
+    order = F.struct("chunk_index", "chunk_id", F.col("embedding").alias("v"))
+    picked = settle(big.groupBy(group).agg(F.min(F.struct((-F.col("_central")).alias("s"), order.alias("c")))["c"].alias("c")).select(group, F.array("c").alias("picked")))
+    while picked.select(F.max(F.size("picked"))).first()[0] < limit:
+        nearest = F.aggregate("picked", F.lit(-1.0), lambda t, p: F.greatest(t, vector.cosine(F.col("embedding"), p["v"])))
+        score = (1 - cfg.centrality_weight) * (1 - nearest) + cfg.centrality_weight * (F.col("_central") + 1) / 2
+        open_ = ~F.exists("picked", lambda p: p["chunk_id"] == F.col("chunk_id"))
+        met = big.join(picked, group).filter(open_)
+        best = met.groupBy(group).agg(F.min(F.struct((-score).alias("s"), order.alias("c")))["c"].alias("c"))
+        picked = settle(picked.join(best, group, "left").select(group, F.when(F.col("c").isNull(), F.col("picked")).otherwise(F.concat("picked", F.array("c"))).alias("picked")))
+    return picked.select(group, F.posexplode("picked").alias("pick", "c")).select(group, F.col("c.chunk_id").alias("chunk_id"), "pick")
 
 
 def pick_overlaps(similarity: np.ndarray, sources: np.ndarray, least: float, limit: int) -> list[int]:

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from lumensift.functions import cite, vector
 from lumensift.functions import text as X
+from lumensift.io import written
+from lumensift.operators import rank
 
 
 @dataclass(frozen=True)
@@ -52,17 +54,27 @@ def knn(store: DataFrame, query: list[float], k: int, where: Column | None = Non
 def knn_join(left: DataFrame, store: DataFrame, k: int, ident: str = "chunk_id", vec: str = "embedding", where: Column | None = None, most_left: int = 2000) -> DataFrame:
     """(src, ident, score, rank): the k nearest store rows of each left row (src, src_vec).
 
-    A stated set of queries against all rows, exactly. Its size is checked before it is broadcast in blocks, so the
-    store is read in place and each task keeps k rows of each query before anything moves; a larger set is refused
-    (all against all is the business of an index).
+    A stated set of queries against all rows, exactly, in blocks of `most_left`. A block's size is known before it is
+    broadcast, so the store is read in place and each task keeps k rows of each query before anything moves. More
+    queries are more blocks, each a pass over the store (all against all is the business of an index).
     """
-    n = left.count()
-    if n > most_left:
-        raise ValueError(f"{n} query rows; at most {most_left} are compared exactly")
+    blocks = -(-left.count() // most_left)
+    if blocks <= 1:
+        return _nearest(left, store, k, ident, vec, where)
+    numbered = written(rank.numbered(left.withColumn("_place", F.monotonically_increasing_id()), "_place", "_at"), "knn-queries")
+    out = None
+    for b in range(blocks):
+        own = numbered.filter((F.col("_at") > b * most_left) & (F.col("_at") <= (b + 1) * most_left)).drop("_place", "_at")
+        near = written(_nearest(own, store, k, ident, vec, where), "knn-block")
+        out = near if out is None else out.unionByName(near)
+    return out
+
+
+def _nearest(left: DataFrame, store: DataFrame, k: int, ident: str, vec: str, where: Column | None) -> DataFrame:
     pairs = store.filter(F.col(vec).isNotNull()).join(F.broadcast(left), F.lit(True) if where is None else where, "inner")
     scored = pairs.withColumn("score", vector.cosine(F.col(vec), F.col("src_vec"))).drop("src_vec", vec)
-    rank = F.row_number().over(W.partitionBy("src").orderBy(F.desc("score"), ident))
-    return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
+    place = F.row_number().over(W.partitionBy("src").orderBy(F.desc("score"), ident))
+    return scored.withColumn("rank", place).filter(F.col("rank") <= k)
 
 
 def hits(rows: DataFrame) -> DataFrame:

@@ -35,7 +35,11 @@ def rank_candidates(hits: DataFrame, concept: str, cfg: EngineConfig = DEFAULT,
     `pos` is the place in retrieval order, which parts ties.
     """
     level = X.lexical_level(F.lit(unicodedata.normalize("NFKC", concept)), F.col("_nfkc"))
-    rows = hits.filter(F.coalesce(F.col("section_type"), F.lit("")) != "references").withColumn("_nfkc", X.nfkc(F.col("text"))).withColumn("lexical_match", level).drop("_nfkc")
+    rows = hits.filter(F.coalesce(F.col("section_type"), F.lit("")) != "references")
+    # ASCII is its own compatibility form: only other texts go through Python.
+    foreign = F.coalesce(F.col("text").rlike(r"[^\x00-\x7f]"), F.lit(False))
+    plain = rows.filter(~foreign).withColumn("_nfkc", F.col("text"))
+    rows = plain.unionByName(rows.filter(foreign).withColumn("_nfkc", X.nfkc(F.col("text")))).withColumn("lexical_match", level).drop("_nfkc")
     rows = rows.withColumn("candidate_score", X.candidate_score(F.col("score"), F.col("lexical_match"), F.col("section_type"), F.col("text"), cfg))
     return rows.orderBy(F.desc("candidate_score"), pos, ident).limit(cfg.define_top_k)
 

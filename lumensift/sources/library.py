@@ -85,12 +85,17 @@ def item_collections(items: DataFrame, names: DataFrame) -> DataFrame:
     return rows.groupBy("item_key").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "name"))), lambda x: x["name"]).alias("names"))
 
 
-def selected(items: DataFrame, ids: list[str], limit: int | None = None) -> DataFrame:
-    """Items of any of the collections, one to an attachment (the last by version)."""
+def selected(items: DataFrame, ids: list[str], limit: int | None = None, arrival: str | None = None) -> DataFrame:
+    """Items of any of the collections, one to an attachment: the last to arrive, at the place of the first.
+
+    `arrival` names the column of the order of arrival (unique within an attachment); without one it is the item's version, then its key.
+    """
     rows = items.filter(F.arrays_overlap("collections", F.array(*[F.lit(i) for i in ids])))
-    last = F.row_number().over(W.partitionBy("attachment_key").orderBy(F.desc_nulls_last("zotero_version"), F.desc("item_key")))
-    rows = rows.withColumn("_n", last).filter("_n = 1").drop("_n")
-    return rows.orderBy("attachment_key").limit(limit) if limit else rows
+    order = F.struct(F.col(arrival)) if arrival else F.struct(F.coalesce("zotero_version", F.lit(-1)), "item_key")
+    own = W.partitionBy("attachment_key")
+    rows = rows.withColumn("_o", order).withColumn("_first", F.min("_o").over(own)).withColumn("_n", F.row_number().over(own.orderBy(F.desc("_o")))).filter("_n = 1")
+    placed = rows.orderBy("_first", "attachment_key") if arrival else rows.orderBy("attachment_key")
+    return (placed.limit(limit) if limit else placed).drop("_o", "_first", "_n")
 
 
 def item(items: DataFrame, key: str) -> DataFrame:

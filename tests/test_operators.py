@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -62,8 +63,9 @@ def test_knn_and_filters(spark):
     assert knn.predicate(knn.Filters(tag="x")) is None and knn.predicate(None) is None
     left = df.filter("chunk_id = 'a'").select(F.col("chunk_id").alias("src"), F.col("embedding").alias("src_vec"))
     assert [r.chunk_id for r in knn.knn_join(left, df.filter("chunk_id <> 'a'"), 1).collect()] == ["b"]
-    with pytest.raises(ValueError):
-        knn.knn_join(left, df, 1, most_left=0)
+    every = df.filter("embedding is not null").select(F.col("chunk_id").alias("src"), F.col("embedding").alias("src_vec"))
+    whole = sorted(map(tuple, knn.knn_join(every, df, 2).select("src", "chunk_id", "rank").collect()))
+    assert sorted(map(tuple, knn.knn_join(every, df, 2, most_left=1).select("src", "chunk_id", "rank").collect())) == whole and len(whole) == 6
 
 
 def test_ranking_drops_references_and_prefers_matches(spark):
@@ -87,23 +89,67 @@ def test_group_documents(spark):
     assert [(r.document, r.chunk_count, r.title, r.zotero_link, r.chunks) for r in got] == [("a", 2, "T1", "l3", ["c3", "c1"]), ("b", 1, "T2", "l2", ["c2"]), ("par", 1, "T4", "l4", ["c4"])]
 
 
-def expand(spark, rows, anchor, **kw):
-    df = spark.createDataFrame([(f"{a}:{i}:h", a, t) for a, i, t in rows], "chunk_id string, attachment_key string, text string")
-    return context.expand(df.filter(F.col("chunk_id") == anchor), context.ordered_siblings(df), **kw).first()
-
-
-def test_context(spark):
-    got = expand(spark, [("a", 0, "before."), ("a", 1, "middle."), ("a", 2, "after."), ("b", 1, "other.")], "a:1:h")
-    assert got.text == "before. middle. after." and len(got.context_chunk_ids) == 3
-    got = expand(spark, [("a", 10, "They are:"), ("a", 11, "- one."), ("a", 12, "- two."), ("a", 13, "- three.")], "a:11:h", before=0, after=0)
-    assert got.text == "They are:\n- one.\n- two.\n- three." and (got.context_start, got.context_end) == (10, 13)
-    got = expand(spark, [("a", 1, "we share shared values and assumptions that"), ("a", 2, "shared values and assumptions that hold.")], "a:1:h")
-    assert got.text == "we share shared values and assumptions that hold."
-    got = expand(spark, [("a", i, "word " * 20) for i in range(3)], "a:1:h", max_words=25, structures=False)
-    assert "a:1:h" in got.context_chunk_ids and len(got.text.split()) <= 25
-    words = lambda p: " ".join(f"{p}{i}" for i in range(20)) + "."
-    got = expand(spark, [("a", 0, words("x")), ("a", 1, words("y")), ("a", 2, words("z"))], "a:1:h", max_words=25)
-    assert got.context_chunk_ids == ["a:0:h", "a:1:h"]  # the anchor is never passed over
+LIST_ITEM = re.compile(r"\s*(?:[•*+-]|\d+[.)]|[a-z][.)]|\([ivx]+\))", re.I)
+
+
+def goes_on(left, right):
+    left = left.rstrip()
+    return left.endswith(":") or LIST_ITEM.match(right) is not None or re.search(r"[.!?][\"')\]]?$", left) is None
+
+
+def stepped(texts, anchor, before, after, most):
+    """The passage of an anchor by walking and folding (texts by index)."""
+    low, high = anchor, anchor
+    present = [i for i in range(anchor - before, anchor + after + 1) if i in texts]
+    low, high = min(present), max(present)
+    while low - 1 in texts and goes_on(texts[low - 1], texts[low]):
+        low -= 1
+    while high + 1 in texts and goes_on(texts[high], texts[high + 1]):
+        high += 1
+    words, text, used = [], "", []
+    for i in sorted(i for i in texts if low <= i <= high and (i in present or i < min(present) or i > max(present))):
+        own = texts[i].split()
+        n = next((n for n in range(min(75, len(words), len(own)), 3, -1) if words[-n:] == own[:n]), 0)
+        rest = own[n:]
+        if i != anchor and len(words) + len(rest) > most:
+            continue
+        joined = " ".join(rest)
+        text = texts[i].strip() if not text else text if not rest else (text + ("\n" if LIST_ITEM.match(joined) else " ") + joined).strip()
+        words, used = words + rest, [*used, i]
+    return text, used
+
+
+def test_passages_against_stepping(spark):
+    """Random chunks with shared borders, lists, gaps and odd budgets, each anchor against the walk."""
+    rng = random.Random(8)
+    rows, asked = [], []
+    for d in range(25):
+        at, last, texts = rng.randint(0, 3), [], {}
+        for _ in range(rng.randint(1, 7)):
+            own = [rng.choice(["tide", "moss", "fern", "lark", "clay", "reed"]) + str(rng.randint(0, 9)) for _ in range(rng.randint(5, 14))]
+            own = last[-rng.choice([0, 2, 5, 6]) or len(last) :] + own if last else own
+            text = rng.choice(["", "", "", "* ", "b) "]) + " ".join(own) + rng.choice([".", ".", "!", ":", "", '."'])
+            texts[at] = text
+            last = text.split()
+            at += rng.choice([1, 1, 1, 2])
+        rows += [(f"d{d}:{i}:h", f"d{d}", t) for i, t in texts.items()]
+        asked.append((f"d{d}", texts))
+    df = spark.createDataFrame(rows, "chunk_id string, attachment_key string, text string")
+    for before, after, most in ((1, 1, 10_000), (0, 0, 30), (2, 1, 22)):
+        got = {r.anchor_id: (r.text, [int(c.split(":")[1]) for c in r.context_chunk_ids]) for r in context.expand(df, context.ordered_siblings(df), before, after, most).collect()}
+        for d, texts in asked:
+            for i in texts:
+                assert got[f"{d}:{i}:h"] == stepped(texts, i, before, after, most), (d, i, before, after, most)
+    near = {(r.anchor_id, r.chunk_id) for r in context.neighbours(df, context.ordered_siblings(df), 1, 0).collect()}
+    assert near == {(f"{d}:{i}:h", f"{d}:{j}:h") for d, texts in asked for i in texts for j in (i - 1, i) if j in texts}
+
+
+def test_representatives_in_rounds(spark):
+    rng = np.random.default_rng(6)
+    rows = [(k, f"{k}{i:03d}", i, rng.normal(size=8).tolist()) for k, n in (("big", 60), ("small", 5), ("three", 3)) for i in range(n)] + [("big", "null", 99, None)]
+    df = spark.createDataFrame(rows, "citation_key string, chunk_id string, chunk_index int, embedding array<double>")
+    whole = sorted(map(tuple, diverse.representatives(df, 4).collect()))
+    assert sorted(map(tuple, diverse.representatives(df, 4, whole=10).collect())) == whole and len(whole) == 11
 
 
 def test_representatives():

@@ -50,7 +50,8 @@ def p2_paragraph_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _language_records(spark: SparkSession, d: str) -> DataFrame:
-    items = languages.records(table(spark, d, "items"), "items", "item_key", "abstract", "language", "item_key")
+    # An item and its chunks are one host; its first collection is the host's group. No table here has an address.
+    items = languages.records(table(spark, d, "items"), "items", "item_key", "abstract", "language", "item_key", group=F.get("collections", F.lit(0)))
     chunks = languages.records(table(spark, d, "chunks"), "chunks", "chunk_id", "text", "language", "parent_key")
     return items.unionByName(chunks)
 

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -44,7 +45,7 @@ def test_labels(spark, label, want):
 
 def test_held_out_accuracy():
     """Fitted on half of the sentences with a fifth of the labels wrong, the other half is told apart."""
-    langs = [x for x in BASE if x in L.LANGUAGES]
+    langs = list(BASE)
     train = [(L.tokens(BASE[k]), L.LANGUAGES.index(k if n % 5 else "en")) for k in langs for n in range(10)]
     model = L.Model(train)
     test = {"en": "The teachers were not clear about the small schools.", "de": "Die Lehrer waren nicht klar und die Schulen klein.", "fr": "Les maîtres ne sont pas dans les écoles.", "ru": "Учителя не нашли результаты в школах.", "ja": "読者は結果が小さいと考えた。"}
@@ -52,5 +53,43 @@ def test_held_out_accuracy():
     assert [L.LANGUAGES[i] for i in scores.argmax(axis=1)] == list(test)
 
 
+def test_other(spark):
+    """Texts in letters of none of the languages are none of them, and have no row among the mislabelled."""
+    extra = [("hindi", "इस अध्ययन के पाठकों ने पाया कि नमूना छोटा था और परिणाम स्पष्ट नहीं थे।", None, None, "x"), ("thai", "ผู้อ่าน งานวิจัย พบว่า กลุ่มตัวอย่าง มีขนาดเล็ก " * 3, "tha", None, "x")]
+    found = L.identify(rows(spark, extra))
+    assert {r.key: r.lang for r in found.filter("key in ('hindi', 'thai')").collect()} == {"hindi": "other", "thai": "other"}
+    assert not {r.record_key for r in L.mislabelled(found).collect()} & {"hindi", "thai"}
+
+
+def test_host_levels(spark):
+    """A host's records in other tables and its group's hosts speak for it; a record does not speak for itself."""
+    one = spark.createDataFrame([("a", "h", "g", 0), ("b", "h", None, 0), ("c", "i", "g", 1), ("d", None, None, 2)], "key string, host string, grp string, main int")
+    hosts, overall, n = L.host_priors(one)
+    got = {r.host: (r.own[:3], r.n_host, r.of_group[:3], r.n_group) for r in hosts.collect()}
+    assert got == {"h": ([2, 0, 0], 2, [2, 1, 0], 3), "i": ([0, 1, 0], 1, [2, 1, 0], 3)} and n == 4 and abs(sum(overall) - 1) < 1e-9
+    short = [("s1", "Der Text", None, "hen", "x")]
+    conf = {h: L.identify(rows(spark, [("s1", "Text", None, h, "x")])).filter("key = 's1'").first().lang for h in ("hen", "hde")}
+    assert conf == {"hen": "en", "hde": "de"} and short
+
+
+def test_calibration():
+    """Tempered confidences are as often right as they say, where evidence is counted several times over."""
+    rng = np.random.default_rng(0)
+    n, k = 4000, len(L.LANGUAGES)
+    true = rng.integers(0, k, n)
+    fair = rng.normal(0, 1, (n, k))
+    fair[np.arange(n), true] += 2.0
+    # Each word's evidence repeated fourfold: sums are four times too sure.
+    declared = np.where(rng.random(n) < 0.1, rng.integers(0, k, n), true)
+    heat = L.temperature(fair * 2.0 * 4, declared)
+    p = np.exp(fair * 8 / heat)
+    p /= p.sum(axis=1, keepdims=True)
+    sure = p.max(axis=1)
+    right = p.argmax(axis=1) == true
+    for low in (0.4, 0.6, 0.8):
+        mine = (sure >= low) & (sure < low + 0.2)
+        assert abs(right[mine].mean() - sure[mine].mean()) < 0.12
+
+
 def test_empty(spark):
     assert L.identify(rows(spark).limit(0)).count() == 0

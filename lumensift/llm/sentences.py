@@ -30,6 +30,7 @@ ABBREVIATIONS = (
 ).split()
 BLOCK = 256
 _SPACE = r"\s  "
+SPACES = " \t\n\x0b\f\r" + _SPACE[2:]
 _CLOSE = rf"(?:[\"”’'»)\]“«›]|[{_SPACE}]»(?=[{_SPACE},.;:]|\z))*(?:\[\d+(?:[,–-]\s?\d+)*\])*"
 _OPEN = rf"(?:[\"“„«»‘‚'(\[¿¡—–-][{_SPACE}]?)*"
 _START = rf"{_OPEN}(?:[\p{{Lu}}\p{{Lt}}\p{{Lo}}\p{{N}}]|\p{{Ll}}{{1,2}}\p{{Lu}})"
@@ -49,10 +50,21 @@ SAID, SAID_END = r"[:：]\s?[“「][^“”「」]*[^“”「」。！？.!?]"
 ADDRESS = r"(?:https?://|www\.)[^\s<>]*[^\s<>.,;:!?)\]”»]|[\p{L}\p{N}._-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+"
 
 
-def masked_within(text: Column, pattern: str, after: str = "") -> Column:
-    """The text with every terminator masked inside a match of the pattern that `after` follows."""
+#: A full stop in a decimal (also without its zero), after an initial or single letter (but not "p.m." and "и т. д." before a beginning), or after an abbreviation.
+#: The stop itself comes first, so that all other characters are passed at once.
+_WORD_BEFORE = r"(?<![\p{L}\p{M}\p{N}])"
+NO_END = (
+    r"\.(?:(?=\d)(?:(?<=\d\.)|(?<=(?<![\p{L}\p{N})\]])\.))"
+    + rf"|(?<={_WORD_BEFORE}\p{{L}}\p{{M}}{{0,4}}\.)(?!(?<=[ap]\.m\.|т\.\sд\.|т\.д\.)[{_SPACE}]+\p{{Lu}})"
+    + rf"|(?=[{_SPACE},;)\p{{L}}\p{{N}}(])(?<={_WORD_BEFORE}(?:{'|'.join(ABBREVIATIONS)})\.))"
+)
+
+
+def masked_within(text: Column, pattern: str, after: str = "", opens: str | None = None) -> Column:
+    """The text with every terminator masked inside a match of the pattern that `after` follows; `opens` are the characters a match may begin with."""
     found = rf"(?:{pattern}){after}"
-    parts = F.regexp_extract_all(text, F.lit(rf"(?s){found}|.+?(?={found}|\z)"), F.lit(0))
+    rest = rf"[^{opens}]+|." if opens else rf".+?(?={found}|\z)"
+    parts = F.regexp_extract_all(text, F.lit(rf"(?s){found}|{rest}"), F.lit(0))
     # A part is a match as a whole or holds none; what follows it is not in it, so only its form is asked.
     each = F.transform(parts, lambda p: F.when(p.rlike(rf"(?s)\A(?:{pattern})\z"), F.translate(p, MARKS, MASKS)).otherwise(p))
     return F.when(text.rlike(found), F.array_join(each, "")).otherwise(text)
@@ -61,20 +73,18 @@ def masked_within(text: Column, pattern: str, after: str = "") -> Column:
 def masked(df: DataFrame, name: str) -> DataFrame:
     """`df` with all terminators of the text column `name` masked that end no sentence; lengths stay.
 
-    Each step is a column of its own, as the next reads it more than once.
+    Each step is a column of its own, as the next reads it more than once, and is taken only where its marks stand.
     """
     text, dot = F.col(name), MASKS[0]
-    german = text.rlike(r"(?i)(?<!\p{L})(?:der|die|das|und|den|dem)(?!\p{L})") & text.rlike(r"\d\.\s+\p{Lu}")
+    german = text.rlike(r"\d\.\s+\p{Lu}") & text.rlike(r"(?i)(?<!\p{L})(?:der|die|das|und|den|dem)(?!\p{L})")
+    where = lambda found, step: F.when(found, step).otherwise(text)
+    quoted = text.contains("“") | text.contains("„") | text.contains("«") | text.contains("»") | text.contains("「") | text.contains("『")
     steps = [
-        F.when(text.contains("www.") | text.contains("://") | text.contains("@"), masked_within(text, ADDRESS)).otherwise(text),
-        # decimals, also without their zero
-        F.regexp_replace(text, r"(?<=\d)\.(?=\d)|(?<![\p{L}\p{N})\]])\.(?=\d)", dot),
-        # initials and single letters, but not "p.m." and "и т. д." before a beginning
-        F.regexp_replace(text, rf"(?<![\p{{L}}\p{{M}}\p{{N}}])(\p{{L}}\p{{M}}*)\.(?!(?<=[ap]\.m\.|т\.\sд\.|т\.д\.)[{_SPACE}]+\p{{Lu}})", "$1" + dot),
-        F.regexp_replace(text, rf"\.(?=[{_SPACE},;)\p{{L}}\p{{N}}(])(?<=(?<![\p{{L}}\p{{M}}\p{{N}}])(?:{'|'.join(ABBREVIATIONS)})\.)", dot),
-        F.when(german, F.regexp_replace(text, rf"(?<![\p{{N}}\p{{L}}.,])(\d{{1,2}})\.(?=[{_SPACE}]+\p{{L}})", "$1" + dot)).otherwise(text),
-        masked_within(text, QUOTES, _ON),
-        masked_within(text, SAID, SAID_END),
+        where(text.contains("www.") | text.contains("://") | text.contains("@"), masked_within(text, ADDRESS)),
+        where(text.contains("."), F.regexp_replace(text, NO_END, dot)),
+        where(german, F.regexp_replace(text, rf"(?<![\p{{N}}\p{{L}}.,])(\d{{1,2}})\.(?=[{_SPACE}]+\p{{L}})", "$1" + dot)),
+        where(quoted, masked_within(text, QUOTES, _ON, "“„«»「『")),
+        where((text.contains(":") | text.contains("：")) & quoted, masked_within(text, SAID, SAID_END, ":：")),
     ]
     for step in steps:
         df = df.withColumn(name, step)
@@ -84,7 +94,7 @@ def masked(df: DataFrame, name: str) -> DataFrame:
 def with_places(df: DataFrame, text_col: str, name: str) -> DataFrame:
     """`df` with an array column `name` of (i, begin, end): the text's sentences, numbered from 1, with the code points before and up to the end of each.
 
-    White space at the text's end is in no sentence; a unit that lies in it ends before it begins. A null text has null.
+    White space at the text's end is in no sentence; a unit that lies in it ends before it begins. Null and blank texts have none.
     """
     rows = masked(df.withColumn("_m", F.col(text_col)), "_m")
     sizes = F.transform(F.regexp_extract_all("_m", F.lit(UNIT), F.lit(0)), lambda p: F.length(p))
@@ -94,8 +104,9 @@ def with_places(df: DataFrame, text_col: str, name: str) -> DataFrame:
     full = lambda i: F.floor(i / BLOCK).cast("int")
     upto = lambda i: total(F.slice("_b", F.lit(1), full(i))) + total(F.slice("_n", full(i) * BLOCK + 1, i % BLOCK))
     places = F.transform(F.sequence(F.lit(1), F.size("_n")), lambda i: F.struct(i.alias("i"), upto(i - 1).alias("begin"), F.least(upto(i), F.col("_w")).alias("end")))
-    rows = rows.withColumn("_w", F.length(F.regexp_replace(text_col, rf"[{_SPACE}]+\z", ""))).withColumn("_n", sizes).withColumn("_b", blocks)
-    return rows.withColumn(name, places).drop("_m", "_w", "_n", "_b")
+    rows = rows.withColumn("_w", F.length(F.rtrim(F.col(text_col), F.lit(SPACES)))).withColumn("_n", sizes).withColumn("_b", blocks)
+    none = F.array().cast("array<struct<i:int,begin:int,end:int>>")
+    return rows.withColumn(name, F.when(F.size("_n") > 0, places).otherwise(none)).drop("_m", "_w", "_n", "_b")
 
 
 def sentences(df: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
@@ -107,5 +118,5 @@ def sentences(df: DataFrame, keys: list[str], text_col: str = "text") -> DataFra
     # Outer, and filtered by nothing but what it yields: else the planner asks the whole chain of masks, many times over, in a filter beneath it.
     rows = with_places(rows, "_t", "_u").select(*keys, "_t", F.explode_outer("_u").alias("_u")).filter("_u.end > _u.begin")
     rows = rows.select(*keys, "_t", F.col("_u.i").alias("_i"), F.col("_u.begin").alias("_begin"), F.col("_u.end").alias("sent_end"))
-    text = F.regexp_replace(F.substring("_t", F.col("_begin") + 1, F.col("sent_end") - F.col("_begin")), rf"\A[{_SPACE}]+|[{_SPACE}]+\z", "")
+    text = F.btrim(F.substring("_t", F.col("_begin") + 1, F.col("sent_end") - F.col("_begin")), F.lit(SPACES))
     return rows.select(*keys, F.col("_i").alias("sentence"), text.alias("text"), "sent_end").dropDuplicates([*keys, "sentence"])

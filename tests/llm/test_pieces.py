@@ -59,10 +59,10 @@ def test_rows(spark):
     rng = random.Random(7)
     text = document(rng, 120)
     paras = [f"p{i}" for i in range(len([p for p in re.split(r"\n\s*\n", text) if p.strip()]))]
-    rows = [("big", text, ["p0:s1"], paras, "x"), ("big", text, ["p0:s1"], paras, "x"), ("small", "few words", [], [], "x"), ("none", None, None, None, "x"), ("bare", "字" * 6001, None, [None], "x"), (None, text, [], [], "x"), ("words", "w " * 801, [], [], "x"), ("limit", "w " * 800, [], [], "x")]
+    rows = [("big", text, ["p0:s1"], paras, "x"), ("big", text, ["p0:s1"], paras, "x"), ("small", "few words", [], [], "x"), ("none", None, None, None, "x"), ("bare", "字" * 6001, None, [None], "x"), (None, text, [], [], "x"), ("words", "w " * 801, [], [], "x"), ("limit", "w " * 800, [], [], "x"), ("blank", " \n" * 4000, ["s"], ["p"], "x")]
     df = spark.createDataFrame(rows, "chunk_id string, text string, sentence_ids array<string>, paragraph_ids array<string>, piece string")
     got = P.pieces(df).collect()
-    assert {r.chunk_id for r in got} == {"big", "bare", "words"}
+    assert {r.chunk_id for r in got} == {"big", "bare", "words", "blank"}
     big = sorted((r for r in got if r.chunk_id == "big"), key=lambda r: r.piece)
     assert sorted({p for r in big for p in r.paragraph_ids}) == sorted(paras) and big[0].paragraph_ids[0] == "p0"
     assert P.pieces(df.limit(0)).count() == 0

@@ -305,16 +305,15 @@ def boilerplate_facet(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", "facet", B.excluded_for(F.col("text"), F.col("facet")).alias("excluded"))
 
 
-@query(r"""SELECT doc_id, len(regexp_extract_all(lower(text), '\bdoi\s*:\s*|https?://doi\.org/')) >= 2 OR (len(regexp_extract_all(text, '\b[A-Z][a-z]+(?:\s+et\s+al\.)?[, ]+\(?20\d{2}\)?')) >= 3
-AND len(regexp_extract_all(text, '\b(?:19|20)\d{2}\b')) >= 4) AS is_reference FROM documents WHERE text IS NOT NULL AND lang = 'en' AND NOT regexp_matches(text, '[^\x00-\x7f]')""")
-def reference_like(spark: SparkSession, d: str) -> DataFrame:
-    """The part of reference_like_all that its SQL can check: English texts of ASCII (word boundaries of the two engines differ elsewhere)."""
-    rows = table(spark, d, "documents").filter("text is not null and lang = 'en'").filter(~F.col("text").rlike(r"[^\x00-\x7f]"))
-    return rows.select("doc_id", X.reference_like(F.col("text")).alias("is_reference"))
+SPACE = r"[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\v]"
+START = r"(?:^|[^\p{L}\p{N}_])"
 
 
-@query()
-def reference_like_all(spark: SparkSession, d: str) -> DataFrame:
+@query(rf"""WITH n AS (SELECT doc_id, len(regexp_extract_all(lower(text), '{START}doi{SPACE}*:')) + len(regexp_extract_all(lower(text), 'https?://doi\.org/')) AS dois,
+ len(regexp_extract_all(text, '{START}[A-Z][a-z]+(?:{SPACE}+et{SPACE}+al\.)?[, ]+\(?20\p{{Nd}}{{2}}')) AS authors,
+ len(list_filter(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+'), lambda w: regexp_full_match(w, '(?:19|20)\p{{Nd}}{{2}}'))) AS years FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, dois >= 2 OR (authors >= 3 AND years >= 4) AS is_reference FROM n""")
+def reference_like(spark: SparkSession, d: str) -> DataFrame:
     """Over every text, whatever its language, label and script."""
     rows = table(spark, d, "documents").filter("text is not null")
     return rows.select("doc_id", X.reference_like(F.col("text")).alias("is_reference"))
@@ -355,7 +354,9 @@ def example_text(spark: SparkSession, d: str) -> DataFrame:
     return chunks(spark, d).filter("text is not null").select("chunk_id", F.md5(X.example_text(F.col("text"))).alias("digest"))
 
 
-@query()
+@query(rf"""WITH {CHUNKS}, f AS (SELECT chunk_id, array_to_string({words_sql('text')}, ' ') AS t FROM c WHERE text IS NOT NULL),
+g AS (SELECT chunk_id, t, coalesce(nullif(regexp_extract(t, '^(.*?[.!?]) ', 1), ''), t) AS s FROM f), h AS (SELECT chunk_id, CASE WHEN length(s) >= 40 THEN s ELSE t END AS x FROM g)
+SELECT chunk_id, CASE WHEN length(x) > 240 THEN regexp_replace(left(x, 237), ' [^ ]*$', '') || '...' ELSE x END AS excerpt FROM h""")
 def excerpt(spark: SparkSession, d: str) -> DataFrame:
     return chunks(spark, d).filter("text is not null").select("chunk_id", X.excerpt(F.col("text")).alias("excerpt"))
 
@@ -387,20 +388,10 @@ def keep_best_dedup(spark: SparkSession, d: str) -> DataFrame:
     return rank.top(one, ["query_id"], [F.desc("score"), "hit_id"], 10).select("query_id", "hit_id")
 
 
-@query(f"""WITH {CHUNKS}, p AS (SELECT citation_key, lower(left(text, 24)) AS statement, [chunk_id] AS ids, text AS excerpt, chunk_id FROM c WHERE text IS NOT NULL AND NOT regexp_matches(left(text, 24), '[^\\x00-\\x7f]')),
-k AS (SELECT *, trim(regexp_replace(statement, '\\W+', ' ', 'g')) AS k FROM p)
-SELECT citation_key, first(statement ORDER BY chunk_id) AS statement, list(chunk_id ORDER BY chunk_id) AS evidence_ids, max(length(excerpt)) AS longest FROM k GROUP BY citation_key, k""")
+@query(rf"""WITH {CHUNKS}, p AS (SELECT citation_key, text, chunk_id, trim(regexp_replace(replace(replace(lower(text), 'ß', 'ss'), 'ς', 'σ'), '[^\p{{L}}\p{{N}}_]+', ' ', 'g')) AS k FROM c WHERE {trim_sql('text')} <> ''),
+m AS (SELECT citation_key, min(chunk_id) AS pos, list(chunk_id ORDER BY chunk_id) AS evidence_ids, arg_min(text, chunk_id) AS statement, first(text ORDER BY length(text) DESC, chunk_id) AS source_excerpt FROM p GROUP BY citation_key, k)
+SELECT citation_key, statement, evidence_ids, source_excerpt, printf('P%02d', row_number() OVER (ORDER BY pos)) AS point_id FROM m""")
 def merge_points(spark: SparkSession, d: str) -> DataFrame:
-    """The part of merging that its SQL can check: beginnings of ASCII as statements, without numbers and excerpts. merge_points_all is the whole."""
-    rows = chunks(spark, d).filter("text is not null").filter(~F.substring("text", 1, 24).rlike(r"[^\x00-\x7f]"))
-    rows = rows.select("citation_key", F.lower(F.substring("text", 1, 24)).alias("statement"), F.array("chunk_id").alias("evidence_ids"), F.col("text").alias("source_excerpt"), F.col("chunk_id").alias("pos"))
-    key = X.statement_key(F.col("statement"))
-    ids = F.array_distinct(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("pos", "evidence_ids"))), lambda x: x["evidence_ids"])))
-    return rows.groupBy("citation_key", key.alias("k")).agg(F.min_by("statement", "pos").alias("statement"), ids.alias("evidence_ids"), F.max(F.length("source_excerpt")).alias("longest")).drop("k")
-
-
-@query()
-def merge_points_all(spark: SparkSession, d: str) -> DataFrame:
     """Every chunk's whole text as a point (blank ones are none), merged within its paper and numbered over the table."""
     # Of re-delivered rows always the same one, as the points are read more than once.
     one = table(spark, d, "chunks").filter("chunk_id is not null").groupBy("chunk_id").agg(F.max(F.struct("text", "citation_key")).alias("r"))
@@ -446,25 +437,25 @@ def stitch(spark: SparkSession, d: str) -> DataFrame:
 
 
 # Manifest and sync ---------------------------------------------------------------
-DISCOVERED = """found AS (SELECT DISTINCT ON (attachment_key) attachment_key, citation_key, pdf_path FROM items WHERE attachment_key IS NOT NULL ORDER BY attachment_key, synced_at DESC NULLS LAST, item_key)"""
+DISCOVERED = """found AS (SELECT DISTINCT ON (attachment_key) attachment_key, citation_key, pdf_path, abstract FROM items WHERE attachment_key IS NOT NULL ORDER BY attachment_key, synced_at DESC NULLS LAST, item_key)"""
 
 
 def _discovered(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "items").filter("attachment_key is not null")
-    return rank.keep_one(rows, ["attachment_key"], [F.desc_nulls_last("synced_at"), "item_key"]).select("attachment_key", "citation_key", "pdf_path")
+    return rank.keep_one(rows, ["attachment_key"], [F.desc_nulls_last("synced_at"), "item_key"]).select("attachment_key", "citation_key", "pdf_path", "abstract")
 
 
-SIZES = "length(f.attachment_key) + length(coalesce(f.pdf_path, ''))"
 DECISION = f"""d AS (SELECT f.attachment_key, f.citation_key, f.pdf_path, CASE WHEN s.attachment_key IS NULL THEN 'new' WHEN s.pipeline_version IS DISTINCT FROM '2' THEN 'changed'
- WHEN f.pdf_path LIKE 'abstract:%' THEN CASE WHEN s.pdf_size IS NOT DISTINCT FROM s.pdf_size THEN 'unchanged' ELSE 'changed' END WHEN f.pdf_path IS NULL THEN 'deleted'
+ WHEN f.pdf_path LIKE 'abstract:%' THEN CASE WHEN s.pdf_size IS NOT DISTINCT FROM length(f.abstract) THEN 'unchanged' ELSE 'changed' END WHEN f.pdf_path IS NULL THEN 'deleted'
  WHEN s.pdf_mtime IS NULL OR s.number_of_pages IS NULL THEN 'changed' ELSE 'unchanged' END AS decision FROM found f LEFT JOIN states s USING (attachment_key))"""
 
 
 def _decided(spark: SparkSession, d: str) -> DataFrame:
-    """Decisions for the library's items; a file whose state lacks its pages counts as touched since."""
+    """Decisions for the library's items. An abstract's size is its text's; of files, which the tables do not hold, the size is taken as known and one whose state lacks its pages counts as touched since."""
     s = states(spark, d)
     seen = s.select("attachment_key", "pdf_size", F.when(F.col("number_of_pages").isNull() | F.col("pdf_mtime").isNull(), F.lit(-1.0)).otherwise(F.col("pdf_mtime")).alias("pdf_mtime"))
     items = _discovered(spark, d).join(seen, "attachment_key", "left").withColumn("path_exists", F.col("pdf_path").isNotNull())
+    items = items.withColumn("pdf_size", F.when(F.col("pdf_path").startswith("abstract:"), F.length("abstract").cast("long")).otherwise(F.col("pdf_size")))
     return manifest.decisions(items, s)
 
 
@@ -475,7 +466,7 @@ def sync_decision(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {STATES}, {DISCOVERED}, {DECISION} SELECT count(*) AS discovered, count(*) FILTER (WHERE decision = 'new') AS new, count(*) FILTER (WHERE decision = 'changed') AS changed,
 count(*) FILTER (WHERE decision = 'unchanged') AS unchanged, count(*) FILTER (WHERE decision = 'deleted') AS deleted, count(*) FILTER (WHERE coalesce(citation_key, '') = '') AS no_citation,
-count(*) FILTER (WHERE pdf_path LIKE 'abstract:%') AS abstracts FROM d""")
+count(*) FILTER (WHERE pdf_path LIKE 'abstract:%') AS abstracts, 0::BIGINT AS failed, 0::BIGINT AS chunks FROM d""")
 def sync_counters(spark: SparkSession, d: str) -> DataFrame:
     from lumensift.plans.sync import counters
 
@@ -484,13 +475,21 @@ def sync_counters(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {STATES} SELECT attachment_key, indexed_at, index_status, content_hash, number_of_chunks FROM states")
 def manifest_upsert(spark: SparkSession, d: str) -> DataFrame:
-    """States merged into an empty manifest one after another: the last of each key stays."""
-    return states(spark, d).select("attachment_key", "indexed_at", "index_status", "content_hash", "number_of_chunks")
+    """Failed states into an empty manifest, then all the others over them, then the failed ones that are later still: the last of each key stays."""
+    rows = table(spark, d, "manifest").filter("attachment_key is not null")
+    bad, good = rows.filter("not coalesce(index_status = 'indexed', false)"), rows.filter("index_status = 'indexed'")
+    order = ["indexed_at", "pipeline_version", "content_hash", "number_of_chunks", "pdf_hash"]
+    stamped = lambda part: part.withColumn("_at", F.to_json(F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in order])))
+    first = manifest.upsert(manifest.empty(spark), stamped(bad), "_at")
+    both = manifest.upsert(first, stamped(good), "_at")
+    late = first.alias("f").join(both.alias("b"), "attachment_key").filter("f.indexed_at > b.indexed_at").select("f.*")
+    return manifest.upsert(both, late).select("attachment_key", "indexed_at", "index_status", "content_hash", "number_of_chunks")
 
 
-@query(f"WITH {STATES}, {DISCOVERED} SELECT attachment_key FROM states WHERE index_status = 'indexed' AND attachment_key NOT IN (SELECT attachment_key FROM found)")
+@query(f"WITH {STATES}, {DISCOVERED} SELECT attachment_key FROM states WHERE index_status = 'indexed' AND attachment_key NOT IN (SELECT attachment_key FROM found WHERE coalesce(citation_key, '') <> '')")
 def prune(spark: SparkSession, d: str) -> DataFrame:
-    return manifest.to_prune(states(spark, d), _discovered(spark, d), True)
+    """Indexed attachments whose item is no longer one to index, as it has lost its citation key."""
+    return manifest.to_prune(states(spark, d), _discovered(spark, d).filter("coalesce(citation_key, '') <> ''"), True)
 
 
 @query(f"WITH {CHUNKS} SELECT chunk_id FROM c WHERE content_hash IS NULL OR split_part(chunk_id, ':', 3) <> content_hash")
@@ -567,8 +566,9 @@ f AS (SELECT ref_no, citation_key, page, min(struct_pack(j := j, i := chunk_id))
 def provenance(spark: SparkSession, d: str) -> DataFrame:
     """Pages behind each paper's references, in order of first sight."""
     rows = chunks(spark, d).filter("page_start > 0 and citation_key is not null")
-    seen = F.sort_array(F.collect_list(F.struct("chunk_index", "chunk_id", "page_start")))
-    return rows.groupBy(F.col("parent_key").alias("ref_no"), "citation_key").agg(F.array_distinct(F.transform(seen, lambda x: x["page_start"])).alias("pages"))
+    points = rows.groupBy(F.col("parent_key").alias("point_id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("chunk_index", "chunk_id"))), lambda x: x["chunk_id"]).alias("evidence_ids"))
+    evidence = rows.select(F.col("chunk_id").alias("evidence_id"), "citation_key", F.col("page_start").alias("page"))
+    return rank.citation_pages(points, evidence, points.select(F.col("point_id").alias("ref_no"), F.array("point_id").alias("point_ids"))).select("ref_no", "citation_key", "pages")
 
 
 @query(f"WITH {CHUNKS} SELECT chunk_id, 'zotero://open-pdf/library/items/' || attachment_key || CASE WHEN page_start > 0 THEN '?page=' || page_start ELSE '' END AS link, CASE WHEN page_start IS NULL THEN NULL WHEN page_end IS NULL OR page_end = page_start THEN 'PDF p. ' || page_start ELSE 'PDF pp. ' || page_start || '–' || page_end END AS label FROM c WHERE coalesce(attachment_key, '') <> ''")
@@ -584,24 +584,11 @@ def evidence_ids(spark: SparkSession, d: str) -> DataFrame:
     return rank.batches(best, [F.desc("score"), "chunk_id"], DEFAULT.define_batch, "D").select("chunk_id", "evidence_id", "batch")
 
 
-@query(f"""WITH {DHITS}, e AS (SELECT hit_id, score, text, section_type FROM h WHERE score IS NOT NULL AND section_type IN ('results', 'discussion') AND NOT regexp_matches(left(text, 60), '[^\\x00-\\x7f]')),
-k AS (SELECT *, trim(regexp_replace(lower(left(text, 60)), '\\W+', ' ', 'g')) AS k, CASE WHEN section_type = 'results' THEN 3 ELSE 2 END AS c FROM e)
-SELECT hit_id FROM (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY k ORDER BY c DESC, score DESC, hit_id) = 1) ORDER BY c DESC, score DESC, hit_id LIMIT 50""")
-def assessment_join(spark: SparkSession, d: str) -> DataFrame:
-    """The part of assessment_join_all that its SQL can check: beginnings of ASCII as texts, keyed without their punctuation."""
-    evidence = _hits(spark, d).filter("score is not null").filter(~F.substring("text", 1, 60).rlike(r"[^\x00-\x7f]"))
-    return _assessed(evidence, F.substring("text", 1, 60), X.statement_key).select("hit_id")
-
-
 @query()
-def assessment_join_all(spark: SparkSession, d: str) -> DataFrame:
+def assessment_join(spark: SparkSession, d: str) -> DataFrame:
     """Assessed passages joined to their evidence: of equal whole texts the best by confidence and score."""
-    return _assessed(_hits(spark, d).filter("score is not null"), F.col("text"), X.definition_key).select("hit_id")
-
-
-def _assessed(evidence: DataFrame, text: Column, key: Callable[[Column], Column]) -> DataFrame:
-    """Hits of results and discussions as answers of high and medium confidence, joined to the evidence; the 50 best."""
+    evidence = _hits(spark, d).filter("score is not null")
     confidence = F.when(F.col("section_type") == "results", "high").otherwise("medium").alias("confidence")
-    answers = evidence.filter(F.col("section_type").isin("results", "discussion")).select("hit_id", confidence, text.alias("extracted_text"))
+    answers = evidence.filter(F.col("section_type").isin("results", "discussion")).select("hit_id", confidence, F.col("text").alias("extracted_text"))
     joined = evidence.select("hit_id", F.col("score").alias("candidate_score")).join(answers, "hit_id").withColumn("lexical_match", F.lit("no_match")).withColumn("pos", F.col("hit_id"))
-    return rank.best_definitions(joined, 50, key=key)
+    return rank.best_definitions(joined, 50).select("hit_id")

@@ -42,6 +42,7 @@ class EngineConfig:
     summary_batch: int = 3
     examples_results: int = 10
     facet_top_k: int = 10
+    classify_chars: int = 4000
     define_chars: int = 2600
     explain_chars: int = 2200
     examples_chars: int = 6000

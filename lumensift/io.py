@@ -71,4 +71,19 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.parquet(path)
+
+
+def forget(spark: SparkSession) -> int:
+    """Delete the tables written() made in this application; to be called when the results that read them are stored. Their number."""
+    jvm = spark._jvm
+    for path in _WRITTEN:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    n = len(_WRITTEN)
+    _WRITTEN.clear()
+    return n
+
+
+_WRITTEN: list[str] = []

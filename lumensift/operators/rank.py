@@ -108,11 +108,25 @@ def known_ids(ids: Column, valid: Column) -> Column:
 
 
 def citation_pages(points: DataFrame, evidence: DataFrame, refs: DataFrame) -> DataFrame:
-    """(ref_no, citation_key, pages): pages of the evidence behind each reference's points, in order of first sight, page 0 and null left out.
+    """(ref_no, citation_key, pages, first): pages of the evidence behind each reference's points, in order of first sight, page 0 and null left out.
 
+    `first` orders a reference's citations; one without pages has an empty list.
     refs: ref_no, point_ids; points: point_id, evidence_ids; evidence: evidence_id, citation_key, page.
     """
+    return _pages(_sighted(points, evidence, refs), ["ref_no", "citation_key"])
+
+
+def sources(points: DataFrame, evidence: DataFrame, refs: DataFrame) -> DataFrame:
+    """(citation_key, pages, first) over all references."""
+    return _pages(_sighted(points, evidence, refs), ["citation_key"])
+
+
+def _sighted(points: DataFrame, evidence: DataFrame, refs: DataFrame) -> DataFrame:
     hop = refs.select("ref_no", F.posexplode("point_ids").alias("i", "point_id")).join(points.select("point_id", "evidence_ids"), "point_id")
-    rows = hop.select("ref_no", "i", F.posexplode("evidence_ids").alias("j", "evidence_id")).join(evidence, "evidence_id").filter("page > 0")
-    seen = F.sort_array(F.collect_list(F.struct("i", "j", "page")))
-    return rows.groupBy("ref_no", "citation_key").agg(F.array_distinct(F.transform(seen, lambda x: x["page"])).alias("pages"))
+    return hop.select("ref_no", "i", F.posexplode("evidence_ids").alias("j", "evidence_id")).join(evidence.select("evidence_id", "citation_key", "page"), "evidence_id")
+
+
+def _pages(rows: DataFrame, keys: list[str]) -> DataFrame:
+    seen = F.sort_array(F.collect_list(F.struct("ref_no", "i", "j", "page")))
+    pages = F.array_distinct(F.filter(F.transform(seen, lambda x: x["page"]), lambda p: p > 0))
+    return rows.groupBy(*keys).agg(pages.alias("pages"), F.min(F.struct("ref_no", "i", "j")).alias("first"))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import urllib.error
+import urllib.request
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any, Protocol
@@ -103,7 +105,42 @@ class Scripted:
         return True
 
 
-REGISTRY: dict[str, Callable[..., Provider]] = {"scripted": Scripted}
+@dataclass
+class Chat:
+    """A service with the widespread chat-completions interface: POST {base}/chat/completions, GET {base}/models."""
+
+    base: str
+    model: str
+    key: str | None = None
+    timeout: float = 120.0
+
+    def _request(self, path: str, body: dict | None = None) -> dict:
+        headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {self.key}"} if self.key else {})
+        data = json.dumps(body).encode() if body is not None else None
+        try:
+            with urllib.request.urlopen(urllib.request.Request(self.base.rstrip("/") + path, data, headers), timeout=self.timeout) as answer:
+                return json.loads(answer.read())
+        except urllib.error.HTTPError as e:
+            raise (ConfigError if e.code in (401, 403, 404) else ProviderError)(f"{path}: {e.code} {e.reason}") from e
+        except (OSError, ValueError) as e:
+            raise ProviderError(f"{path}: {e}") from e
+
+    def answer(self, messages: list[dict[str, str]], task: str) -> str:
+        got = self._request("/chat/completions", {"model": self.model, "messages": messages, "temperature": 0})
+        try:
+            return got["choices"][0]["message"]["content"] or ""
+        except (KeyError, IndexError, TypeError) as e:
+            raise ProviderError(f"{task}: no message in the answer") from e
+
+    def available(self) -> bool:
+        try:
+            self._request("/models")
+        except ProviderError:
+            return False
+        return True
+
+
+REGISTRY: dict[str, Callable[..., Provider]] = {"scripted": Scripted, "chat": Chat}
 
 
 def create(name: str, **options: Any) -> Provider:

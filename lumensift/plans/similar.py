@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lumensift.config import DEFAULT, EngineConfig
 from lumensift.functions import text as X
 from lumensift.functions.boilerplate import boilerplate
+from lumensift.io import settle
 from lumensift.operators import diverse, knn, rank
 
 
@@ -53,8 +54,8 @@ def similar_papers(store: DataFrame, citation_key: str, cfg: EngineConfig = DEFA
     picks = diverse.representatives(good, cfg=cfg).select("chunk_id")
     reps = good.join(picks, "chunk_id").select(F.col("chunk_id").alias("src"), F.col("embedding").alias("src_vec"))
     n_reps = reps.count()
-    # Neighbours are taken before their texts are judged, as in a search.
-    near = knn.knn_join(reps, store.filter(F.col("citation_key") != citation_key), cfg.similar_neighbours)
+    # Neighbours are taken before their texts are judged, as in a search. They are few, and read by several steps.
+    near = settle(knn.knn_join(reps, store.filter(F.col("citation_key") != citation_key), cfg.similar_neighbours))
     met = near.filter((F.col("citation_key") != "") & usable(F.col("text"), F.col("section_type"), cfg)).withColumn("candidate", F.col("citation_key"))
     best = rank.keep_one(met, [F.col("candidate"), F.col("src")], [F.desc("score"), "rank"])
     scores = coverage_scores(best.select("candidate", "src", "score"), max(1, n_reps), cfg.similar_min, cfg)
@@ -65,5 +66,9 @@ def similar_papers(store: DataFrame, citation_key: str, cfg: EngineConfig = DEFA
     texts = store.select("chunk_id", "attachment_key", "chunk_index", F.nullif("page_start", F.lit(0)).alias("page_start"), F.nullif("page_end", F.lit(0)).alias("page_end"), "text", X.excerpt(F.col("text")).alias("excerpt"))
     of = lambda side: texts.select(*[F.col(c).alias(f"{side}_{c}" if c != "chunk_id" else f"{side}_chunk") for c in texts.columns])
     shared = shared.join(of("source"), "source_chunk").join(of("candidate"), "candidate_chunk")
-    found = {"usable_source_chunks": n_usable, "representative_source_chunks": n_reps, "queries_executed": n_reps}
+    counts = near.agg(F.count("*").alias("hits")).crossJoin(met.agg(F.count("*").alias("usable"), F.count_distinct("candidate").alias("papers"))).crossJoin(scores.agg(F.count("*").alias("passing"))).first()
+    found = {
+        "usable_source_chunks": n_usable, "representative_source_chunks": n_reps, "queries_executed": n_reps,
+        "candidate_chunk_hits": counts.hits, "candidate_papers": counts.papers, "passing_papers": counts.passing,
+    }
     return Similar(papers, shared, found)

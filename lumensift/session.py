@@ -7,11 +7,13 @@ from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from lumensift.config import DEFAULT, EngineConfig
+from lumensift.functions import cite
 from lumensift.functions import text as X
 from lumensift.operators import knn
-from lumensift.plans import find, provider, similar, tasks
+from lumensift.plans import answers, find, provider, similar, tasks
 from lumensift.sources import manifest
 
 
@@ -38,11 +40,12 @@ class Session:
     cfg: EngineConfig = DEFAULT
 
     def set(self, name: str, value: str) -> None:
-        """source (a comma list of citation keys) or author; keys are checked against the manifest first."""
+        """source (a comma list of citation keys, taken as they are: show() tells what the manifest knows of each) or author."""
         if name == "author":
             self.filters = replace(self.filters, author=value)
         elif name in ("source", "sources"):
-            self.filters = replace(self.filters, citation_key=",".join(dict.fromkeys(knn.split_list(value))))
+            keys = list(dict.fromkeys(knn.split_list(value)))
+            self.filters = replace(self.filters, citation_key=",".join(keys))
         else:
             raise ValueError(f"unknown setting: {name}")
 
@@ -78,18 +81,29 @@ class Session:
     def define(self, concept: str, author: str | None = None) -> DataFrame:
         return self.engine.define(concept, filters=replace(self.filters, author=author or self.filters.author))
 
-    def explain(self, concept: str, author: str | None = None) -> tuple[DataFrame, DataFrame]:
+    def explain(self, concept: str, author: str | None = None) -> answers.Answer:
         return self.engine.explain(concept, replace(self.filters, author=author or self.filters.author))
 
     def examples(self, concept: str) -> DataFrame:
         return self.engine.examples(concept, knn.Filters(citation_key=self.filters.citation_key))
 
-    def summarise(self, key: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-        return self.engine.summarise(key)
+    def summarise(self, key: str, item_type: str | None = None) -> answers.Answer:
+        return self.engine.summarise(key, item_type)
 
     def evidence(self, chunk_id: str) -> DataFrame:
         return self.engine.store.filter(X.trim(self.engine.store.chunk_id) == chunk_id).drop("embedding")
 
+    def open(self, chunk_id: str) -> str:
+        """The deep link to the page a chunk begins on; an unknown chunk is an error."""
+        row = self.evidence(chunk_id).select(cite.hit_link(F.col("attachment_key"), F.nullif("page_start", F.lit(0))).alias("link")).first()
+        if row is None:
+            raise ValueError(f"unknown chunk: {chunk_id}")
+        return row.link
+
+    def completions(self, prefix: str) -> list[str]:
+        """Citation keys met in this session that begin so."""
+        return sorted(k for k in self.seen if k.lower().startswith(prefix.lower()))
+
     def use_provider(self, name: str, **options) -> None:
         """Another model; what was retrieved stays."""
         self.engine.model = provider.create(name, **options)
@@ -105,7 +119,7 @@ class Session:
         text = " ".join(a for a in args if not a.startswith("--"))
         commands: dict[str, Callable] = {
             "search": lambda: self.search(text), "find": lambda: self.find(text, author), "define": lambda: self.define(text, author), "explain": lambda: self.explain(text, author),
-            "examples": lambda: self.examples(text), "summarize": lambda: self.summarise(text), "summarise": lambda: self.summarise(text), "evidence": lambda: self.evidence(text), "show": self.show,
+            "examples": lambda: self.examples(text), "summarize": lambda: self.summarise(text), "summarise": lambda: self.summarise(text), "evidence": lambda: self.evidence(text), "open": lambda: self.open(text), "show": self.show,
             "set": lambda: self.set(args[0], " ".join(args[1:])), "clear": lambda: self.clear(args[0] if args else None),
         }
         if name not in commands:

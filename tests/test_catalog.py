@@ -18,7 +18,7 @@ def reference_like(text):
     return dois >= 2 or (authors >= 3 and len(re.findall(r"\b(?:19|20)\d{2}\b", text)) >= 4)
 
 
-def test_reference_like_all(spark, tmp_path):
+def test_reference_like(spark, tmp_path):
     cited = "Smith, 2001; Jones et al. (2004), Brown 2010"
     texts = [
         f"{cited}, 1999.", f"“{cited}, 1999.”", f"Über {cited}, 1999é", f"{cited} und 1999", f"{cited}, \u0661\u0669\u0669\u0669 2003", f"{cited}, 20\u0661\u0662",
@@ -27,7 +27,7 @@ def test_reference_like_all(spark, tmp_path):
     langs = ["en", "de", None, "zh", "x"]
     rows = [(i, t, langs[i % 5]) for i, t in enumerate(texts)] + [(99, None, "en")]
     d = saved(spark, tmp_path, "documents", rows, "doc_id long, text string, lang string")
-    got = {r.doc_id: r.is_reference for r in catalog.queries()["reference_like_all"](spark, d).collect()}
+    got = {r.doc_id: r.is_reference for r in catalog.queries()["reference_like"](spark, d).collect()}
     assert got == {i: reference_like(t) for i, t in enumerate(texts)}
     assert len(set(got.values())) == 2
 
@@ -43,12 +43,12 @@ def merge_points(rows):
     return [(paper, f"P{n:02d}", *point) for n, ((paper, _), point) in enumerate(merged.items(), 1)]
 
 
-def test_merge_points_all(spark, tmp_path):
+def test_merge_points(spark, tmp_path):
     same = "The same twenty-four letters and more"
     texts = [same + " A.", same + " B.", same + ", a!", "Größe und Maß", "GRÖSSE — und maß…", "हिन्दी", "हिन्दु", "e\u0301tude", "étude", "統計の要約", "统计摘要", "", " \u3000", None, "x²", "x 2", "…", "—"]
     rows = [(f"c{i:03d}", f"p{i % 2}" if i % 7 else None, texts[(i // 2) % len(texts)]) for i in range(150)]
     d = saved(spark, tmp_path, "chunks", rows, "chunk_id string, citation_key string, text string")
-    got = catalog.queries()["merge_points_all"](spark, d).select("citation_key", "point_id", "statement", "evidence_ids", "source_excerpt").collect()
+    got = catalog.queries()["merge_points"](spark, d).select("citation_key", "point_id", "statement", "evidence_ids", "source_excerpt").collect()
     assert sorted(map(tuple, got), key=lambda r: int(r[1][1:])) == merge_points(rows)
 
 
@@ -71,10 +71,10 @@ def assessment_join(rows):
     return list(first.values())[:50]
 
 
-def test_assessment_join_all(spark, tmp_path):
+def test_assessment_join(spark, tmp_path):
     start = "These sixty characters are the same in each of the passages: "
     texts = [start + "first end", start + "second end", start + "first  END", start + "first end.", "Größe – das Maß", "GRÖSSE das MASS", "ｆｕｌｌ width", "full width", "labour centre", "Labor—Center", "統計の要約", "हिन्दी", "हिन्दु", "", " - ", "\u2014", None]
     rows = [(i, ["results", "discussion", "methods", None][i % 4], None if i % 13 == 5 else (i * 37 % 50) / 50, texts[i % len(texts)]) for i in range(200)]
     d = saved(spark, tmp_path, "chunk_hits", rows, "hit_id long, section_type string, score double, text string")
-    got = [r.hit_id for r in catalog.queries()["assessment_join_all"](spark, d).collect()]
+    got = [r.hit_id for r in catalog.queries()["assessment_join"](spark, d).collect()]
     assert got == assessment_join(rows) and len(got) > 8

@@ -1,17 +1,17 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from lumensift.functions import text as X
-from lumensift.plans import audit, provider, sync, tasks
+from lumensift.operators import rank
+from lumensift.plans import answers, audit, provider, sync, tasks
 from lumensift.plans.similar import UnknownKey, similar_papers
 from lumensift.schemas import MANIFEST, STORED
 from lumensift.sources import embed, library, manifest, pages
 from lumensift.sources.store import ConcurrentWrite, ChunkStore, stale_ids
 from lumensift.streaming.ingest import ingest_pages
 
-import pytest
-
 
 def raw(spark, records):
     return library.records(spark.createDataFrame([(json.dumps(r),) for r in records], "json string"))
@@ -263,15 +263,104 @@ def test_explain_examples_summarise(spark):
         ids = ids_in(body)
         if task == "examples":
             return [{"statement": "Interviews.", "concept_match": "requested_concept", "confidence": "high", "evidence_ids": ids[:1]}, {"statement": "interviews", "concept_match": "requested_concept", "confidence": "medium", "evidence_ids": ids[:1]}, {"statement": "Weak", "concept_match": "requested_concept", "confidence": "low", "evidence_ids": ids[:1]}]
+        if task in ("explain-synthesis", "summary-synthesis"):
+            sections = ("overview", "aspect", "perspective") if task.startswith("explain") else ("topics", "limitations", "overview")
+            return [{"section": sections[0], "statement": "All in all.", "evidence_ids": ["P01", "P77"]}, {"section": sections[1], "statement": "It is so [P01].", "evidence_ids": ["P01"]}, {"section": sections[2], "statement": "Made up.", "evidence_ids": ["P99"]}, {"section": sections[2], "statement": "Bare.", "evidence_ids": []}]
         return [{"statement": "A point.", "evidence_ids": ids[:1], "source_excerpt": "x", "facet": "topic"}, {"statement": "a point", "evidence_ids": ids[-1:], "source_excerpt": "xyz", "facet": "topic"}, {"statement": "Unknown ids", "evidence_ids": ["Q1"], "source_excerpt": "x", "facet": "topic"}]
 
     engine = question_engine(spark, reply)
-    points, evidence = engine.explain("health literacy")
-    row = points.collect()
-    assert len(row) == 1 and row[0].source_excerpt == "xyz" and set(row[0].evidence_ids) <= {r.evidence_id for r in evidence.collect()}
+    told = engine.explain("health literacy")
+    row = told.points.collect()
+    assert len(row) == 1 and row[0].source_excerpt == "xyz" and set(row[0].evidence_ids) <= {r.evidence_id for r in told.evidence.collect()}
+    # The overview stays with the ids that are known; other statements need all of theirs.
+    assert [(r.section, r.statement, r.point_ids) for r in told.statements.orderBy("ref_no").collect()] == [("overview", "All in all.", ["P01"]), ("aspect", "It is so", ["P01"])] and not told.insufficient
+    keys = {r.citation_key for r in told.evidence.filter(F.col("evidence_id").isin(row[0].evidence_ids)).collect()}
+    pages = told.pages.collect()
+    assert {(r.ref_no, r.citation_key) for r in pages} == {(n, k) for n in (0, 1) for k in keys} and {r.citation_key for r in told.sources.collect()} == keys
+    lines = [r.line for r in told.rendered().orderBy("ref_no").collect()]
+    assert lines[1].startswith("It is so [P01 | ") and all(k in lines[0] for k in keys)
     assert [r.statement for r in engine.examples("health literacy").collect()] == ["Interviews."]
-    points, evidence, rejected = engine.summarise("k1")
-    assert [r.facet for r in points.collect()] == ["topic"] and evidence.count() > 0 and rejected.count() == 0
+    told = engine.summarise("k1", "book")
+    assert [r.facet for r in told.points.collect()] == ["topic"] and told.evidence.count() > 0 and told.rejected.count() == 0 and told.document_type == "book"
+    assert [(r.section, r.statement) for r in told.statements.collect()] == [("limitations", "It is so")]
+
+
+def test_malformed_and_missing_answers(spark):
+    """Answers that stay malformed are no evidence; a provider that fails is an error."""
+    told = question_engine(spark, lambda task, body: "no json").explain("health literacy")
+    assert told.insufficient and told.points.count() == told.statements.count() == told.sources.count() == 0
+
+    def broken(task, body):
+        raise provider.ProviderError("gone")
+
+    with pytest.raises(provider.ProviderError):
+        question_engine(spark, broken).explain("health literacy")
+
+
+def test_citation_pages(spark):
+    points = spark.createDataFrame([("P01", ["E1", "E2"]), ("P02", ["E3"])], "point_id string, evidence_ids array<string>")
+    evidence = spark.createDataFrame([("E1", "b", 7, 9), ("E2", "a", 0, 4), ("E3", "b", 3, 7), ("E4", "c", 1, 1), ("E5", None, 1, 1)], "evidence_id string, citation_key string, page_start int, page_end int")
+    refs = spark.createDataFrame([(0, ["P02", "P01"]), (1, ["P01", "P09"]), (2, [])], "ref_no int, point_ids array<string>")
+    passages = answers.cited_pages(evidence)
+    got = {(r.ref_no, r.citation_key): r.pages for r in rank.citation_pages(points, passages, refs).collect()}
+    assert got == {(0, "b"): [3, 7, 9], (0, "a"): [4], (1, "b"): [7, 9], (1, "a"): [4]}
+    assert [(r.citation_key, r.pages) for r in rank.sources(points, passages, refs).orderBy("first").collect()] == [("b", [3, 7, 9]), ("a", [4])]
+
+
+def test_classify(spark):
+    calls = []
+
+    def reply(task, body):
+        calls.append(body)
+        ids = ids_in(calls[0])
+        bad = len(calls) == 1
+        return [{"evidence_id": "Smith 2004" if bad else i, "requested_concept": "Health  Literacy", "classification": "explicit_definition", "extracted_definition": "", "confidence": "high", "concept_match": "requested_concept"} for i in ids[:3]]
+
+    engine = question_engine(spark, reply)
+    got = engine.classify("health literacy", 2).collect()
+    assert len(calls) == 2 and [r.evidence_id for r in got] == ["P01", "P02"] and all(r.classification == "explicit_definition" and r.definition_text for r in got)
+    none = question_engine(spark, lambda task, body: [])
+    assert none.classify("health literacy").count() == 0
+    assert {r.classification for r in none.classify("health literacy", 2, discussion=True).collect()} == {"unclassified_candidate"}
+    silent = question_engine(spark, lambda task, body: "?")
+    assert silent.classify("health literacy").count() == 0 and silent.classify("health literacy", 1, discussion=True).count() == 1
+
+
+def test_chat_service():
+    import http.server
+    import threading
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def _say(self, code, body):
+            self.send_response(code)
+            self.end_headers()
+            self.wfile.write(json.dumps(body).encode())
+
+        def do_GET(self):
+            self._say(200, {"data": []})
+
+        def do_POST(self):
+            asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            if asked["model"] == "none":
+                return self._say(404, {})
+            self._say(200, {"choices": [{"message": {"content": f"{asked['messages'][0]['content']} {self.headers['Authorization']}"}}]})
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}/v1"
+    good = provider.create("chat", base=base, model="m", key="k")
+    assert good.available() and good.answer([{"role": "user", "content": "hello"}], "t") == "hello Bearer k"
+    with pytest.raises(provider.ConfigError):
+        provider.create("chat", base=base, model="none").answer([], "t")
+    server.shutdown()
+    server.server_close()
+    gone = provider.create("chat", base=base, model="m", timeout=2.0)
+    assert not gone.available()
+    with pytest.raises(provider.ProviderError):
+        gone.answer([], "t")
 
 
 def test_provider():
@@ -311,3 +400,32 @@ def test_session(spark):
         s.run("search ' '")
     with pytest.raises(ValueError):
         s.run("dance")
+
+
+def page_texts(content):
+    return [t for t in content.decode().split("\f")]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    """sync, status, documents, define without a model, the shell, and purge, over a small library."""
+    from lumensift.__main__ import main
+
+    dump = [
+        {"key": "i1", "data": {"key": "i1", "itemType": "book", "title": "One", "citationKey": "one", "collections": ["c1"], "version": 1}},
+        {"key": "a1", "data": {"key": "a1", "itemType": "attachment", "parentItem": "i1", "contentType": "application/pdf", "filename": "x.pdf"}},
+        {"key": "i2", "data": {"key": "i2", "itemType": "book", "title": "Two", "citationKey": "two", "abstractNote": "Trust means confidence.", "collections": []}},
+    ]
+    (tmp_path / "dump.json").write_text(json.dumps(dump))
+    (tmp_path / "files" / "a1").mkdir(parents=True)
+    (tmp_path / "files" / "a1" / "x.pdf").write_text("Trust is the belief in others.\fPage two.")
+    base = ["--store", f"file://{tmp_path}/store", "--manifest", f"file://{tmp_path}/manifest"]
+    ingest = ["--export", f"file://{tmp_path}/dump.json", "--files", f"file://{tmp_path}/files", "--extractor", f"{__name__}:page_texts"]
+    assert main([*base, "sync", *ingest]) == 0
+    states = {r.attachment_key: r for r in spark.read.parquet(f"file://{tmp_path}/manifest").collect()}
+    assert {k: r.index_status for k, r in states.items()} == {"a1": "indexed", "i2": "indexed"} and len(states["a1"].pdf_hash) == 64
+    assert main([*base, "sync", *ingest]) == 0
+    assert capsys.readouterr().out.splitlines()[-1].split("\t")[:4] == ["2", "0", "0", "2"]
+    assert main([*base, "documents"]) == 0 and "one" in capsys.readouterr().out
+    assert main([*base, "examples", "trust"]) == 0
+    assert main([*base, "rebuild", *ingest]) == 0 and ChunkStore(spark, f"file://{tmp_path}/store").count() == 2
+    assert main([*base, "purge"]) == 1 and main([*base, "purge", "--yes"]) == 0 and ChunkStore(spark, f"file://{tmp_path}/store").count() == 0

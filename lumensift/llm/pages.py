@@ -397,6 +397,8 @@ def learnt(counts: DataFrame) -> list[tuple[str, str]]:
     rare = _rare(counts).mapInPandas(cut, schema).filter("telling").withColumnsRenamed({"word": "found", "n": "n_found", "part": "read"})
     usual = counts.filter(F.col("n") >= LEAST * 3).mapInPandas(cut, schema).withColumnRenamed("part", "meant")
     pairs = rare.join(usual, "rest").filter("found <> word and read <> meant and length(read) + length(meant) <= 3").filter(F.col("n") >= RARER * F.col("n_found"))
+    # Other spellings of the same letters are no misreadings.
+    pairs = pairs.filter("replace(found, 'ß', 'ss') <> replace(word, 'ß', 'ss')")
     # The characters themselves differ: what is the same at either end belongs to the rest.
     pairs = pairs.filter("left(read, 1) <> left(meant, 1) and right(read, 1) <> right(meant, 1)")
     seen = pairs.select("found", "read", "meant").distinct().groupBy("read", "meant").agg(F.count("*").alias("words"))
@@ -414,6 +416,7 @@ def corrections(counts: DataFrame, confusions: list[tuple[str, str]]) -> DataFra
 
     often = counts.filter(F.col("n") >= LEAST)
     read = _rare(counts).mapInPandas(undo, "found string, n_found long, word string").join(often, "word").filter(F.col("n") >= RARER * F.col("n_found"))
+    read = read.filter("replace(found, 'ß', 'ss') <> replace(word, 'ß', 'ss')")
     return read.groupBy("found").agg(F.max(F.struct("n", "word")).alias("m")).select("found", F.col("m.word").alias("meant"))
 
 

@@ -94,7 +94,7 @@ def test_fit_takes_all_pages(spark):
 def test_learnt_confusions(spark):
     """Rare words beside frequent ones teach what is misread for what; endings teach nothing."""
     usual = ["household", "described", "numeracy", "teachers", "villages", "fragments"]
-    rows = [(w, 400) for w in usual] + [("houscbold", 1), ("dcscribed", 1), ("numcracy", 2), ("tcachers", 1), ("teacherd", 2), ("villaged", 1), ("fragmentd", 1), ("household9", 1)]
+    rows = [(w, 400) for w in usual] + [("houscbold", 1), ("dcscribed", 1), ("numcracy", 2), ("tcachers", 1), ("teacherd", 2), ("villaged", 1), ("fragmentd", 1), ("household9", 1), *((w, 400) for w in ("maßstab", "größte", "außerdem", "schließt")), *((w, 1) for w in ("massstab", "grösste", "ausserdem", "schliesst"))]
     counts = spark.createDataFrame(rows, "word string, n long")
     assert P.learnt(counts) == [("c", "e")]
     fixes = {r.found: r.meant for r in P.corrections(counts, [("c", "e"), ("b", "h")]).collect()}

@@ -81,7 +81,8 @@ class Engine:
         joined = evidence.drop("confidence").join(self.spark.createDataFrame(found, schema), "evidence_id")
         # Where the model quotes nothing, the passage's own defining sentence stands.
         quoted = F.nullif(X.trim(F.col("extracted_text")), F.lit(""))
-        return rank.best_definitions(joined.withColumn("extracted_text", X.trim(F.coalesce(quoted, X.definition_text(F.col("text"))))), k)
+        # Settled, so that the compatibility form (Python) is taken of rows as they lie and never within the join before it.
+        return rank.best_definitions(settle(joined.withColumn("extracted_text", X.trim(F.coalesce(quoted, X.definition_text(F.col("text")))))), k)
 
     def classify(self, concept: str, k: int = 5, discussion: bool = False, filters: knn.Filters | None = None) -> DataFrame:
         """The single-stage form of define: one question over the ten best candidates, in retrieval order, the first k accepted.

@@ -17,7 +17,7 @@ from lumensift.config import DEFAULT
 from lumensift.functions import boilerplate as B
 from lumensift.functions import cite, vector
 from lumensift.functions import text as X
-from lumensift.io import table
+from lumensift.io import table, written
 from lumensift.operators import chunking, closure, context, diverse, knn, rank, selection
 from lumensift.plans import audit, find, similar
 from lumensift.sources import manifest, pages, store
@@ -591,4 +591,5 @@ def assessment_join(spark: SparkSession, d: str) -> DataFrame:
     confidence = F.when(F.col("section_type") == "results", "high").otherwise("medium").alias("confidence")
     answers = evidence.filter(F.col("section_type").isin("results", "discussion")).select("hit_id", confidence, F.col("text").alias("extracted_text"))
     joined = evidence.select("hit_id", F.col("score").alias("candidate_score")).join(answers, "hit_id").withColumn("lexical_match", F.lit("no_match")).withColumn("pos", F.col("hit_id"))
-    return rank.best_definitions(joined, 50).select("hit_id")
+    # Written, so that the compatibility form (Python) is taken of rows as they lie and never within the join.
+    return rank.best_definitions(written(joined, "assessed"), 50).select("hit_id")
